@@ -1,0 +1 @@
+"""Views of the driver's tables as evaluation data, and the score aggregates over them."""
