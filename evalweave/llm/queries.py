@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_shipped
-from . import exact, language, mixing, sentencepieces, simhash
+from . import exact, language, licences, mixing, quality, sentencepieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,15 @@ _OPERATORS: dict[str, Query] = {
     f.__name__: f
     for f in (
         mixing.op1_mix_sources,
+        quality.op3_quality_rules,
         sentencepieces.op5_sentencepiece,
         language.op6_language_id,
         exact.op8_exact_dedup,
         simhash.op9_simhash_near_dedup,
+        licences.op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op8_exact_dedup": exact.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op3_quality_rules": quality.OP3_SQL, "op8_exact_dedup": exact.OP8_SQL}
 
 
 def _ready(query: Query) -> Query:
