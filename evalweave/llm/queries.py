@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_shipped
-from . import exact, language, licences, mixing, quality, sentencepieces, simhash
+from . import exact, language, language_model, licences, mixing, quality, sentencepieces, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ _OPERATORS: dict[str, Query] = {
     f.__name__: f
     for f in (
         mixing.op1_mix_sources,
+        suffixes.op2_suffix_repeats,
         quality.op3_quality_rules,
+        language_model.op4_lm_scoring,
         sentencepieces.op5_sentencepiece,
         language.op6_language_id,
         exact.op8_exact_dedup,
