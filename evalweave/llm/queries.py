@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_shipped
-from . import exact, language, language_model, licences, mixing, quality, sentencepieces, simhash, suffixes
+from . import exact, language, language_model, licences, mixing, quality, sentencepieces, simhash, suffixes, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ _OPERATORS: dict[str, Query] = {
         language_model.op4_lm_scoring,
         sentencepieces.op5_sentencepiece,
         language.op6_language_id,
+        wrappers.op7_html_extraction,
         exact.op8_exact_dedup,
         simhash.op9_simhash_near_dedup,
         licences.op10_license_scan,
