@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from . import stats  # noqa: F401
+
+
+_load()
