@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r    -     　﻿"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda would compute it again for each item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
 
@@ -32,8 +37,12 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Distinct runs of n words; of a shorter text its distinct words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) < n, words).otherwise(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.array_distinct(F.when(F.size(w) < n, w).otherwise(runs))
+
+    return let(words, of)
 
 
 def containment(part: Column, whole: Column) -> Column:
@@ -52,7 +61,7 @@ def percent(share: Column) -> Column:
 
 def clamp(x: Column) -> Column:
     """x within [0, 1]; null and NaN stay as they are."""
-    return F.when(F.isnan(x), x).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def clamp_finite(x: Column) -> Column:

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from . import stats  # noqa: F401
+    from . import records, stats, texts  # noqa: F401
 
 
 _load()

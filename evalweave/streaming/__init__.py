@@ -1,0 +1 @@
+"""Structured Streaming: ledgers that grow, and figures by event time."""
