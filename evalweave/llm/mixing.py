@@ -103,7 +103,6 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFr
     return _taken(_intervals(keyed, sized(budgets, size))).select("doc_id", "source", "epoch", "n_tokens", "start", "take_tokens")
 
 
-@F.pandas_udf("string")
 def _first_tokens(text: pd.Series, n: pd.Series) -> pd.Series:
     """text up to the end of its n-th token."""
     return pd.Series([next(itertools.islice(re.finditer(_TOKEN, t), k - 1, None)).end() for t, k in zip(text, n, strict=True)], dtype="int64").combine(text, lambda end, t: t[:end])
@@ -136,7 +135,7 @@ def mix_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> Data
     on = at_edge.select("box", (F.col("whole") + fits.cast("long")).alias("n"))
     whole = off.unionByName(on).where("n > 0").withColumn("nth", F.explode(F.expr("sequence(cast(1 as bigint), n)")))
     plain = [F.col(f"box.c{i}").alias(c) for i, c in enumerate(columns)]
-    partial = at_edge.where("tie = edge_tie and edge_take < n_tokens").withColumn("short", _first_tokens(F.col(f"box.c{columns.index('text')}"), F.col("edge_take").cast("int")))
+    partial = at_edge.where("tie = edge_tie and edge_take < n_tokens").withColumn("short", F.pandas_udf(_first_tokens, "string")(F.col(f"box.c{columns.index('text')}"), F.col("edge_take").cast("int")))
     changed = {"text": F.col("short"), "n_chars": F.length("short")}
     cut_down = [(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(f"box.c{i}")).alias(c) for i, c in enumerate(columns)]
     return whole.select(*plain).union(partial.select(*cut_down))

@@ -28,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Text is worked on in parts of about so many characters, whole documents each.
-PART_CHARS = 1 << 20
+#: Text is worked on in parts of about so many bytes, whole documents each.
+PART_BYTES = 1 << 20
 #: Words kept from part to part; when there are more, the later half is forgotten.
-KEEP_WORDS = 1 << 19
+KEEP_WORDS = 1 << 17
 
 HEAD_BITS = 20
 #: Slots of the table of answers about pairs of pieces; it is overwritten, not grown.
@@ -342,15 +343,14 @@ class Encoder:
         return data[~lead], length
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for hi, t in enumerate(texts):
-        size += len(t or "")
-        if size >= PART_CHARS:
-            yield lo, hi + 1
-            lo, size = hi + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about PART_BYTES of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART_BYTES)) + 1
+        yield lo, min(hi, len(column))
+        lo = hi
 
 
 _encoders: dict[str, Encoder] = {}
@@ -366,11 +366,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
             _encoders[model] = Encoder(pieces.value)
         encoder = _encoders[model]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _parts(texts):
-                flat, counts = encoder.encode(texts[lo:hi])
+            for lo, hi in _parts(batch.column(1)):
+                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                flat, counts = encoder.encode(texts)
                 data, sizes = encoder.decode(flat, counts)
-                null = np.array([t is None for t in texts[lo:hi]])
+                null = np.array([t is None for t in texts])
                 mask = pa.array(null)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=mask)
