@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, read, sized
+from .common import fresh, materialise, quoted, read, sized
 
 #: Distinct fingerprints that one merged filter is planned for.
 FILTER_KEYS = 1 << 18
@@ -164,7 +164,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     alone = marked.join(again, fp, "left_anti")
     ranked = marked.join(again, fp, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(fp, "text").orderBy("doc_id")))
     first = ranked.where(F.col(rank) == 1).drop(rank)
-    return alone.unionByName(first).drop(fp).unionByName(docs.where(F.col("text").isNull())).select(*docs.columns)
+    return alone.unionByName(first).drop(fp).unionByName(docs.where(F.col("text").isNull())).select(*[quoted(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

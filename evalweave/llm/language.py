@@ -202,7 +202,9 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
                 batch = batch.filter(pa.array((best >= 0) & (gap >= m.least_gap)))
             yield batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    # Columns go by number while they pass through Python, so that any name will do.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, read, sized
+from .common import fresh, materialise, quoted, read, sized
 from .kernels import mix, slices, words
 
 NBITS = 128
@@ -373,15 +373,15 @@ def find_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document (the lowest doc_id) of each group of near duplicates; documents without a fingerprint stay."""
-    pairs, size = materialise(find_near(docs, radius).select(F.col("doc_id").alias("gone")).distinct())
-    rank = fresh(docs.columns, "rank")
+    rank, gone, twice = (fresh(docs.columns, n) for n in ("rank", "gone", "twice"))
+    pairs, size = materialise(find_near(docs, radius).select(F.col("doc_id").alias(gone)).distinct())
     # A doc_id that comes more than once with one text is one document; such rows are few and counted first.
-    again, again_size = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
-    kept = docs.join(sized(pairs, size), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
-    once = kept.join(sized(again, again_size), kept["doc_id"] == F.col("twice"), "left_anti")
-    more = kept.join(sized(again, again_size), kept["doc_id"] == F.col("twice"), "left_semi")
+    again, again_size = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)))
+    kept = docs.join(sized(pairs, size), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    once = kept.join(sized(again, again_size), F.col("doc_id") == F.col(twice), "left_anti")
+    more = kept.join(sized(again, again_size), F.col("doc_id") == F.col(twice), "left_semi")
     more = more.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))).where(F.col(rank) == 1)
-    return once.unionByName(more.drop(rank)).select(*docs.columns)
+    return once.unionByName(more.drop(rank)).select(*[quoted(c) for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
