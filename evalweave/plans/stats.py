@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, bootstrap, compare
 from ..sources import tables as t
-from .catalog import query
+from .catalog import NUDGE, query
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
     """Sums of doubles depend on their order in the last digits."""
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    nudge = NUDGE if places == 9 else 0.0
+    return df.withColumns({c: F.round(F.col(c) + nudge, places) for c in columns})
 
 
 _AXES = f"""

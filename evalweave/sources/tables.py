@@ -17,13 +17,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), (F.col("l_partkey") % 500).cast("string")).alias("scenario_id"),
         F.col("l_returnflag").alias("axis"),
         (F.col("l_discount") * 10).alias("value"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("score_ord"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag").alias("score_ord"),
     )
 
 
 SCORES_SQL = """
   SELECT concat('r', l_suppkey % 4) AS runner_id, concat('s', l_partkey % 500) AS scenario_id, l_returnflag AS axis,
-         l_discount * 10 AS value, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS score_ord
+         l_discount * 10 AS value, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_returnflag) AS score_ord
   FROM lineitem
 """
 

@@ -22,7 +22,7 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _plain(x):
     if isinstance(x, float):
         return "null" if x != x else str(int(x)) if x.is_integer() else repr(x)
-    if x is None or x is pd.NaT:
+    if x is None or x is pd.NaT or x is pd.NA:
         return "null"
     if hasattr(x, "tolist"):
         x = x.tolist()
