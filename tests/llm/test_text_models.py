@@ -98,12 +98,6 @@ def test_lm_learns(spark):
     assert seen == sorted(seen) and seen[-1] > seen[0]
 
 
-def test_lm_scores_text_above_noise(spark, docs):
-    noise = spark.createDataFrame([(10_000, "".join(chr(33 + (i * i * 7919) % 90) for i in range(600)))], "doc_id long, text string")
-    out = {r["doc_id"]: r["bits_per_byte"] for r in language_model.score(docs.select("doc_id", "text").union(noise)).collect()}
-    assert out[10_000] > 1.3 * np.median(list(out.values()))
-
-
 def test_lm_odd(odd, empty):
     out = language_model.score(odd).collect()
     assert len(out) == odd.count()
@@ -171,9 +165,9 @@ def test_codewords():
         assert code.shape[0] == k and least >= {2: 1, 3: 2, 4: 4, 7: 32, 12: 8}[k]
 
 
-def test_language_accuracy(docs):
+def test_language_accuracy(spark):
     """Trained on one half, held against the labels of the other."""
-    pdf = docs.where("n_chars > 40").toPandas()
+    pdf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 40").toPandas()
     train, held = pdf[pdf["doc_id"] % 2 == 0], pdf[pdf["doc_id"] % 2 == 1]
     model = language.fit(train["text"].tolist(), train["lang"].tolist())
     best, _, gap, _ = model.decode(pa.array(held["text"]))
