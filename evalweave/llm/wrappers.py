@@ -5,7 +5,9 @@ and text slots, and folded: runs of one group become a repeated group. For each
 host the distinct folded streams are aligned one after the other into a wrapper,
 a union-free regular expression: what only one side has becomes optional,
 repeated groups absorb single instances, and texts become slots. A slot whose
-text is one and the same on all of the host's pages is part of the template;
+text is one and the same on all of the host's pages is part of the template, if
+those are two different pages at least (copies of one page don't tell data from
+template, nor do pages without texts count);
 the others are the page's data, and those outside navigation, headers, footers,
 advertisements and links are its content.
 
@@ -14,8 +16,8 @@ streams, not its pages.
 
 Cases: a null or empty page, or one without tags, has no wrapper fields but
 keeps its plain text as content; a page whose url has no host belongs to host ''
-and is aligned with its like; a host with one page has a wrapper in which every
-slot is data; broken markup is read as it comes (ends that may be left out are put in, other unclosed and stray tags are tokens
+and is aligned with its like; a host with one page, or with copies of one page,
+has a wrapper in which every slot is data; broken markup is read as it comes (ends that may be left out are put in, other unclosed and stray tags are tokens
 as any others); pages of any length are read whole; rows that repeat
 are extracted each; an empty table gives an empty result; further columns are
 not read.
@@ -414,10 +416,13 @@ def extract(pages: DataFrame) -> DataFrame:
     placed = streams.drop("nodes").join(sized(maps, size), ["host", "sig"])
     # Each text with the slot of the wrapper that it fills.
     fields = F.transform(F.arrays_zip("slot", "texts"), lambda x: F.struct(F.element_at("slot_map", x["slot"] + 1).alias("at"), F.element_at("aside", x["slot"] + 1).alias("aside"), x["texts"].alias("text")))
-    filled = placed.select("page_id", "host", "wrapper_id", fields.alias("fields"))
-    flat = filled.select("host", F.explode("fields").alias("f")).select("host", F.col("f.at").alias("at"), F.xxhash64("f.text").alias("h"))
-    seen = flat.groupBy("host", "at").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n"))
-    fixed, fixed_size = materialise(seen.where("lo = hi and n > 1").groupBy("host").agg(F.sort_array(F.collect_set("at")).alias("fixed")).withColumnRenamed("host", "f_host"))
+    filled = placed.select("page_id", "host", "wrapper_id", fields.alias("fields"), F.xxhash64("sig", "texts").alias("print"))
+    # A slot once for each page and text in it: with one text, its rows are its pages.
+    each = F.array_distinct(F.transform("fields", lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["text"]).alias("h"))))
+    flat = filled.select("host", F.explode(each).alias("f")).select("host", "f.at", "f.h")
+    seen = flat.groupBy("host", "at").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo = hi and n > 1")
+    hosts = filled.where(F.size("fields") > 0).groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("print").alias("first"), F.max("print").alias("last")).where("first <> last")
+    fixed, fixed_size = materialise(seen.join(hosts, "host").where("n = pages").groupBy("host").agg(F.sort_array(F.collect_set("at")).alias("fixed")).withColumnRenamed("host", "f_host"))
     with_fixed = filled.join(sized(fixed, fixed_size), F.col("host") == F.col("f_host"), "left")
     none = F.array().cast("array<int>")
     data = F.filter("fields", lambda x: ~F.array_contains(F.coalesce("fixed", none), x["at"]))

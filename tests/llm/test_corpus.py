@@ -135,6 +135,20 @@ def test_extraction_odd(spark):
     assert wrappers.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    """Copies of one page, and a group of copies within a host, keep their texts; what all of two different pages share is template."""
+    page = "<html><body><h1>{}</h1><p>{}</p>{}</body></html>"
+    pages = [(i, "https://copies.example/", page.format("head", "same", "")) for i in range(3)]
+    pages += [(10 + i, "https://big.example/", page.format("head", f"text {i}", "")) for i in range(5)]
+    pages += [(20 + i, "https://big.example/", page.format("head", "copied", "<div>only copies</div>")) for i in range(2)] + [(30, "https://big.example/", "")]
+    pages += [(40, "https://one.example/", "<ul><li>x</li><li>x</li></ul>")]
+    out = {r["page_id"]: r for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i]["content"] == "head\nsame" and out[i]["n_fields"] == 2 for i in range(3))
+    assert all(out[10 + i]["content"] == f"text {i}" for i in range(5))
+    assert all(out[20 + i]["content"] == "copied\nonly copies" for i in range(2)) and out[30]["content"] == ""
+    assert out[40]["content"] == "x\nx"
+
+
 def test_every_page_keeps_its_article(spark, sf_dir):
     out = wrappers.op7_html_extraction(spark, sf_dir)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
