@@ -31,6 +31,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -178,29 +179,40 @@ def fold(kinds: list[str]) -> tuple[Nodes, list[int]]:
 
 
 def _fold_run(units: list[tuple]) -> list[tuple]:
-    """Neighbouring groups of one to four units that repeat, as one repeated group."""
-    for width in (1, 2, 3, 4):
-        if len(units) < 2 * width:
-            return units
-        shapes = [u[2] for u in units]
-        if not any(map(str.__eq__, shapes, shapes[width:])):
+    """Neighbouring groups of units that repeat, as one repeated group; groups of any width, narrow ones first."""
+    width, ids = 1, None
+    while 2 * width <= len(units):
+        if ids is None:
+            number: dict[str, int] = {}
+            ids = [number.setdefault(u[2], len(number)) for u in units]
+            if len(number) == len(units) or not any(_opens(u[2]) for u in units):
+                return units
+        # Two neighbouring groups hold a multiple of the width and the place one width after it: most widths end here.
+        if not any(map(int.__eq__, ids[::width], ids[width::width])):
+            width += 1
             continue
+        x = np.array(ids)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], x[width:] == x[:-width], [False]]).astype(np.int8)))
         out: list[tuple] = []
-        i = 0
-        while i < len(units):
-            j = i + width
-            while shapes[j : j + width] == shapes[i : i + width] and j + width <= len(units):
-                j += width
-            if j - i >= 2 * width and not (width == 1 and units[i][0] == "+") and any(x != "#" and x[:2] != "</" for x in shapes[i : i + width]):
-                out.append(("+", [units[k : k + width] for k in range(i, j, width)], "(" + "".join(shapes[i : i + width]) + ")+"))
-                i = j
-            else:
-                out.append(units[i])
-                i += 1
-        units = out
+        done = 0
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            first = max(first, done)
+            if last - first < width or (width == 1 and units[first][0] == "+") or not any(_opens(u[2]) for u in units[first : first + width]):
+                continue
+            end = first + (last - first) // width * width + width
+            out += units[done:first]
+            out.append(("+", [units[k : k + width] for k in range(first, end, width)], "(" + "".join([u[2] for u in units[first : first + width]]) + ")+"))
+            done = end
+        if out:
+            units, ids = out + units[done:], None
+        width += 1
     return units
 
 
+def _opens(shape: str) -> bool:
+    return shape != "#" and shape[:2] != "</"
+
+
 def _slots(nodes: Nodes) -> int:
     return sum(1 if n == "#" else _slots(n[1]) if isinstance(n, list) else 0 for n in nodes)
 

@@ -135,6 +135,19 @@ def test_extraction_odd(spark):
     assert wrappers.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_wide_records():
+    """Records of many siblings fold, whatever their width, also around narrower groups and in halves of a page."""
+    for width in (5, 6, 11):
+        record = [x for k in range(width) for x in (f"<div.{chr(97 + k)}>", "#", "</div>")]
+        for times in (2, 3, 7):
+            nodes, slots = wrappers.fold(["<body>", "#", *record * times, "<p>", "#", "</p>", "</body>"])
+            assert nodes == ["<body>", "#", ["+", record], "<p>", "#", "</p>", "</body>"]
+            assert slots == [0, *list(range(1, width + 1)) * times, width + 1]
+    streams = [wrappers.fold(["<body>", *record * times, "</body>"])[0] for times in (3, 1, 2)]
+    w, _ = wrappers.induce(streams)
+    assert w.count == 11 and w.text().count("(") == 1
+
+
 def test_copies_are_no_template(spark):
     """Copies of one page, and a group of copies within a host, keep their texts; what all of two different pages share is template."""
     page = "<html><body><h1>{}</h1><p>{}</p>{}</body></html>"
