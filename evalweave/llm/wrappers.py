@@ -8,8 +8,9 @@ repeated groups absorb single instances, and texts become slots. A slot whose
 text is one and the same on all of the host's pages is part of the template, if
 those are two different pages at least (copies of one page don't tell data from
 template, nor do pages without texts count);
-the others are the page's data, and those outside navigation, headers, footers,
-advertisements and links are its content.
+the others are the page's data, and those outside navigation, page headers,
+footers, advertisements and blocks made of links are its content. A link in
+running text is part of the text, and the header of an article is content.
 
 Streams are counted before they are aligned, so a host costs its distinct
 streams, not its pages.
@@ -45,8 +46,10 @@ _CLASS = re.compile(r"""(?i)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 #: Inline marks of a text, which don't end a slot.
 INLINE = frozenset("b i em strong u s small sub sup span font mark abbr code kbd q cite time wbr br ins del".split())
 #: What holds no content, as a tag or as a word of class, id or role.
-ASIDE_TAGS = frozenset("nav footer aside title a button form select option label header menu".split())
+ASIDE_TAGS = frozenset("nav footer aside title a button select option label header menu".split())
 ASIDE_NAMES = frozenset("nav navbar navigation menu footer header sidebar breadcrumb breadcrumbs ad ads advert advertisement banner sponsor sponsored cookie cookies promo related share social".split())
+#: In these a header heads content, not the page.
+SECTIONS = frozenset("article main section".split())
 #: Elements whose end may be left out: one of its kind, or its parent's end, ends it.
 IMPLIED = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,22 +60,63 @@ def host_of(url: str | None) -> str:
     return m[2].lower() if m else ""
 
 
+def _token(name: str, rest: str) -> str:
+    names = sorted({w.lower() for _, v in _CLASS.findall(rest) for w in v.strip("\"'").split() if not any(c.isdigit() for c in w)}) if "=" in rest else []
+    return f"<{name}{'.' + '.'.join(names) if names else ''}>"
+
+
 def tokens(page: str) -> tuple[list[str], list[str]]:
-    """Tag tokens with '#' for each text between them, and the texts; inline marks join the text around them."""
+    """Tag tokens with '#' for each text between them, and the texts; inline marks join the text around them.
+
+    So do links, unless all words between the neighbouring tags are in links.
+    """
     kinds: list[str] = []
     texts: list[str] = []
     pending: list[str] = []
+    # Where in pending links begin and end: (index, token). How many elements were open when the open link began (-1: no link is open), and whether its token is among kinds.
+    links: list[tuple[int, str]] = []
+    linked, told = -1, False
 
-    def close() -> None:
-        joined = "".join(pending)
-        pending.clear()
+    def level(parts: list[str]) -> str:
+        joined = "".join(parts)
         if "&" in joined:
             joined = html.unescape(joined)
-        joined = " ".join(joined.split())
-        if joined:
+        return " ".join(joined.split())
+
+    def put(parts: list[str]) -> None:
+        if joined := level(parts):
             kinds.append("#")
             texts.append(joined)
 
+    def close() -> None:
+        nonlocal linked, told
+        if links:
+            edges = [0, *[i for i, _ in links], len(pending)]
+            spans = [pending[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+            if any(c.isalnum() for k, span in enumerate(spans) if not k or links[k - 1][1][1] == "/" for c in level(span)):
+                put(pending)
+                linked = -1  # a link that is part of a text ends with it
+            else:
+                put(spans[0])
+                for (_, token), span in zip(links, spans[1:], strict=True):
+                    kinds.append(token)
+                    put(span)
+                told = linked >= 0
+            links.clear()
+        else:
+            put(pending)
+        pending.clear()
+
+    def end_link() -> None:
+        nonlocal linked, told
+        if linked >= 0:
+            if told:
+                close()
+                kinds.append("</a>")
+            else:
+                links.append((len(pending), "</a>"))
+            linked, told = -1, False
+
     clean = _SKIP.sub(" ", page)
     open_: list[str] = []
     at = 0
@@ -86,9 +130,17 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
             if name in ("br", "wbr"):
                 pending.append(" ")
             continue
+        if name == "a":
+            end_link()
+            if not slash:
+                links.append((len(pending), _token(name, rest)))
+                linked = len(open_)
+            continue
         close()
         if slash:
             if name in open_:
+                if linked > len(open_) - 1 - open_[::-1].index(name):
+                    linked, told = -1, False  # an element that ends ends the link in it
                 while open_[-1] != name:
                     if (inner := open_.pop()) in IMPLIED:
                         kinds.append(f"</{inner}>")
@@ -102,8 +154,7 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
                 kinds.append(f"</{name}>")
             else:
                 open_.append(name)
-        names = sorted({w.lower() for _, v in _CLASS.findall(rest) for w in v.strip("\"'").split() if not any(c.isdigit() for c in w)}) if "=" in rest else []
-        kinds.append(f"<{name}{'.' + '.'.join(names) if names else ''}>")
+        kinds.append(_token(name, rest))
     pending.append(clean[at:])
     close()
     for inner in reversed(open_):
@@ -377,7 +428,8 @@ class Wrapper:
                 else:
                     name, *names = n[1:-1].split(".")
                     if name not in VOID:
-                        path.append((name, name in ASIDE_TAGS or any(x in ASIDE_NAMES for x in names)))
+                        heads = any(x in SECTIONS for x, _ in path)
+                        path.append((name, any(x in group and not (heads and x == "header") for group, own in ((ASIDE_TAGS, [name]), (ASIDE_NAMES, names)) for x in own)))
 
         walk(self.nodes)
         return out

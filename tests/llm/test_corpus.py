@@ -148,6 +148,26 @@ def test_wide_records():
     assert w.count == 11 and w.text().count("(") == 1
 
 
+def test_links_in_texts():
+    """Links in running text are text; blocks made of links aren't content; forms and the headers of articles are."""
+
+    def content(page):
+        kinds, texts = wrappers.tokens(page)
+        w, maps = wrappers.induce([wrappers.fold(kinds)[0]])
+        slots = wrappers.fold(kinds)[1]
+        return [t for t, k in zip(texts, slots, strict=True) if not w.asides()[maps[0][k]]]
+
+    assert content("<p>See <a href=x>the <b>manual</b></a> first</p>") == ["See the manual first"]
+    assert content("<p><a href=x>The manual</a>, says <a href=y>one</a></p><p>more</p>") == ["The manual, says one", "more"]
+    assert content("<p><a href=x>one</a> <a href=y>two</a>&nbsp;</p><p>more</p>") == ["more"]
+    assert content("<a href=x><h2>card</h2>tail</a> after <p>more</p>") == ["after", "more"]
+    assert content("<ul><li><a href=x>one<li>two</ul><p>more</p>") == ["two", "more"]
+    assert content("<p>open <a href=x>link<p>more</a> text</p>") == ["open link", "more text"]
+    assert content("<ul><li><a href=x>one</ul><p>more</p>") == ["more"]
+    assert content("<body><form><p>whole page</p><label>name</label></form></body>") == ["whole page"]
+    assert content("<body><header>site</header><article><header><h1>title</h1></header><div class=header>by</div><footer>x</footer></article></body>") == ["title", "by"]
+
+
 def test_copies_are_no_template(spark):
     """Copies of one page, and a group of copies within a host, keep their texts; what all of two different pages share is template."""
     page = "<html><body><h1>{}</h1><p>{}</p>{}</body></html>"
