@@ -84,6 +84,43 @@ def test_repeats_by_brute_force(spark, seed):
     assert all(r["n_occurrences"] == len(r["doc_ids"]) for r in got)
 
 
+def _periodic(words, least):
+    return any(all(a == b for a, b in zip(words, words[p:], strict=False)) for p in range(1, least))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeats_after_runs_by_brute_force(spark, seed):
+    """Texts with runs of differing length, periods and continuations: whatever isn't a run itself is found with all its occurrences."""
+    rng = random.Random(seed)
+    roots = [["x"], ["p", "q"], ["r", "r", "s"], ["a", "b", "c", "d"]]
+    tails = [[f"t{k}{i}" for i in range(9)] for k in range(3)]
+    docs = []
+    for d in range(30):
+        w: list[str] = []
+        for _ in range(rng.randint(1, 3)):
+            root, n = rng.choice(roots), rng.randint(3, 26)
+            shift = rng.randrange(len(root))
+            w += [f"l{rng.randrange(3)}"] * rng.randint(0, 1) + [root[(shift + i) % len(root)] for i in range(n)] + rng.choice(tails)[: rng.choice([0, 2, 9])]
+        docs.append((d, " ".join(w)))
+    words = {d: t.split() for d, t in docs}
+    got = {}
+    for r in suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect():
+        where = tuple(sorted(zip(r["doc_ids"], r["word_at"], strict=True)))
+        d, i = where[0]
+        got[tuple(words[d][i : i + r["n_words"]])] = where
+        assert all(words[d][i : i + r["n_words"]] == words[where[0][0]][where[0][1] : where[0][1] + r["n_words"]] for d, i in where)
+    want = {tuple(words[where[0][0]][where[0][1] : where[0][1] + n]): where for n, where in _maximal(docs, 6)}
+    assert {k: v for k, v in got.items() if not _periodic(k, 6)} == {k: v for k, v in want.items() if not _periodic(k, 6)}
+    assert all(set(v) <= set(want.get(k, v)) for k, v in got.items())
+
+
+def test_passage_after_runs(spark):
+    shared = [f"s{i}" for i in range(500)]
+    docs = [(d, " ".join([f"{d}0", *["x"] * n, *shared, f"{d}1"])) for d, n in ((1, 70), (2, 60))]
+    rows = suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert any(r["n_words"] == 560 and sorted(zip(r["doc_ids"], r["word_at"], strict=True)) == [(1, 11), (2, 1)] for r in rows)
+
+
 def test_winnowing_covers_every_window():
     rng = np.random.default_rng(0)
     for n in (49, 50, 51, 400):
