@@ -3,8 +3,8 @@
 A document's 128-bit SimHash is the majority, bit by bit, over the hashes of
 its distinct words. Equal fingerprints fall together first. Distinct ones meet
 in the buckets of hash tables keyed by random choices of bits; the number of
-tables follows from the bits a key has, so that a pair at REFERENCE_DISTANCE
-bits meets with probability RECALL (closer pairs more surely), at every size.
+tables follows from the bits a key has, so that a pair at RADIUS bits meets with
+probability RECALL (closer pairs more surely), at every size.
 Inside a bucket nothing is skipped: fingerprints are turned into bit planes, 64
 of them to a word, and carry-save adders count differing bits of 64 pairs at a
 time; blocks in which every pair is beyond the radius are abandoned. Groups are
@@ -32,7 +32,7 @@ from .kernels import mix, slices, words
 
 NBITS = 128
 RADIUS = 24
-REFERENCE_DISTANCE = 19
+REFERENCE_DISTANCE = RADIUS
 RECALL = 0.92
 #: Buckets of more fingerprints than this are searched breadth first, leaving out pairs that are already connected.
 ALL_PAIRS = 512

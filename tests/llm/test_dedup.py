@@ -101,6 +101,21 @@ def test_op9_recall(spark, docs, sf_dir):
     assert len(grouped) == len(keep)
 
 
+@pytest.mark.parametrize("bits", [16, 20, 30])
+def test_recall_by_distance(bits):
+    """Pairs of every distance up to the radius meet in some table with probability RECALL or more, whatever the key's length."""
+    choice = simhash._choices(bits)
+    rng = np.random.default_rng(bits)
+    for distance in (10, 19, 20, 21, 22, 23, simhash.RADIUS):
+        differ = np.zeros((600, simhash.NBITS), dtype=bool)
+        for row in differ:
+            row[rng.choice(simhash.NBITS, distance, replace=False)] = True
+        meet = np.zeros(len(differ), dtype=bool)
+        for c in choice:
+            meet |= ~differ[:, c].any(axis=1)
+        assert meet.mean() >= simhash.RECALL - 0.04
+
+
 def test_near_odd(odd, empty):
     got = sorted((r["doc_id"], r["keep_id"]) for r in simhash.find_near(odd).collect())
     assert got == [(2, 1)]
