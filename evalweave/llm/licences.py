@@ -7,6 +7,9 @@ levelled. The expression after a tag is parsed by a shunting-yard parser
 ``OR`` the freer side counts, of an ``AND`` the stricter one. Everything found
 in a document holds together.
 
+A GNU licence named without a version (and nowhere in the document with one) is
+that of any version; the BSD body is told apart by its further clauses.
+
 Cases: null, empty and plain texts have no findings: restriction ``none``,
 allowed; a broken expression is kept as found, restriction ``unknown`` and not
 allowed; identifiers that aren't known are ``unknown``; findings that repeat
@@ -31,7 +34,7 @@ ALLOWED = {"none", "public-domain", "permissive", "weak-copyleft"}
 
 KINDS = {
     "public-domain": "CC0-1.0 Unlicense 0BSD WTFPL PDDL-1.0",
-    "permissive": "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PostgreSQL Python-2.0 PSF-2.0 X11 NCSA CC-BY-3.0 CC-BY-4.0 Artistic-2.0 ODC-By-1.0 BlueOak-1.0.0 UPL-1.0",
+    "permissive": "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PostgreSQL Python-2.0 PSF-2.0 X11 NCSA HPND CC-BY-3.0 CC-BY-4.0 Artistic-2.0 ODC-By-1.0 BlueOak-1.0.0 UPL-1.0",
     "weak-copyleft": "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 MS-RL",
     "copyleft": "GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.1 EUPL-1.2 ODbL-1.0 GFDL-1.3-only GFDL-1.3-or-later OSL-3.0",
     "network-copyleft": "AGPL-3.0-only AGPL-3.0-or-later SSPL-1.0",
@@ -46,6 +49,10 @@ for _old in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0"
 #: Exceptions that free what a copyleft licence links to.
 LINKING = {"classpath-exception-2.0", "gcc-exception-3.1", "gcc-exception-2.0", "llvm-exception", "linux-syscall-note", "font-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "openjdk-assembly-exception-1.0", "u-boot-exception-2.0", "wxwindows-exception-3.1"}
 
+#: Marks that name a licence only together with others: names of GNU licences without a version, and parts of the BSD licences.
+UNVERSIONED = {"?GPL": "GPL-1.0-or-later", "?LGPL": "LGPL-2.0-or-later", "?AGPL": "AGPL-3.0-or-later"}
+BSD_BODY, BSD_NAMES, BSD_ADVERTISING = "?BSD", "?BSD-names", "?BSD-advertising"
+
 _TAG = "spdx-license-identifier:"
 PHRASES: dict[str, str] = {_TAG: ""}
 
@@ -67,6 +74,8 @@ for _n, _long in (("GPL", "gnu general public license"), ("LGPL", "gnu lesser ge
             for _later in (" or later", ", or later", " or any later version", ", or any later version", " or (at your option) any later version", ", or (at your option) any later version"):
                 _phrases(f"{_n}-{_full}-or-later", _form + _later)
         _phrases(f"{_n}-{_full}-or-later", f"{_n.lower()}v{_v}+")
+for _n, _long in (("GPL", "general"), ("LGPL", "lesser general"), ("LGPL", "library general"), ("AGPL", "affero general")):
+    _phrases(f"?{_n}", f"gnu {_long} public license", f"gnu {_n.lower()}")
 for _kind, _words in (("BY", "attribution"), ("BY-SA", "attribution-sharealike"), ("BY-NC", "attribution-noncommercial"), ("BY-ND", "attribution-noderivatives"), ("BY-NC-SA", "attribution-noncommercial-sharealike"), ("BY-NC-ND", "attribution-noncommercial-noderivatives")):
     for _v in ("3.0", "4.0"):
         if f"cc-{_kind}-{_v}".lower() in NAME_OF:
@@ -76,7 +85,14 @@ _phrases("Unlicense", "this is free and unencumbered software released into the
 _phrases("MPL-2.0", "mozilla public license, version 2.0", "mozilla public license, v. 2.0", "mozilla public license version 2.0", "mozilla public license 2.0")
 _phrases("BSD-2-Clause", "bsd 2-clause", "bsd-2-clause", "2-clause bsd", "simplified bsd license")
 _phrases("BSD-3-Clause", "bsd 3-clause", "bsd-3-clause", "3-clause bsd", "new bsd license", "modified bsd license")
-_phrases("ISC", "isc license")
+_phrases(BSD_BODY, "redistribution and use in source and binary forms", *[f"all rights reserved{x} redistribution and use in source and binary forms" for x in (".", "")])
+_phrases(BSD_NAMES, "endorse or promote products derived from")
+_phrases(BSD_ADVERTISING, "all advertising materials mentioning features or use of")
+_phrases("ISC", "isc license", "permission to use, copy, modify, and/or distribute this software", "permission to use, copy, modify, and distribute this software")
+_phrases("0BSD", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software is provided", "zero-clause bsd", "bsd zero clause")
+_phrases("HPND", "permission to use, copy, modify, and distribute this software and its documentation")
+_phrases("PostgreSQL", "postgresql license", "permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted")
+_phrases("Zlib", "zlib license", "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "altered source versions must be plainly marked as such")
 _phrases("BSL-1.0", "boost software license, version 1.0", "boost software license 1.0")
 _phrases("EPL-2.0", "eclipse public license, version 2.0", "eclipse public license 2.0", "eclipse public license v2.0", "eclipse public license - v 2.0")
 _phrases("EPL-1.0", "eclipse public license, version 1.0", "eclipse public license 1.0", "eclipse public license - v 1.0")
@@ -185,6 +201,31 @@ def parse(text: str) -> tuple[Node | None, str]:
     return output[0], taken
 
 
+_LATER = r"(?P<later>\+|-or-later|,? or (?:\(?at your option\)?,? )?(?:any )?(?:later|newer)(?: version)?)?"
+#: A version after a GNU licence's name, as in the Free Software Foundation's headers, or before it.
+_AFTER = re.compile(rf"(?: \((?:gnu )?[al]?gpl\))?(?: as published by the free software foundation)?(?:[;,])?(?: either)?(?: version |[ -]?v\.? ?|[ -])(?P<v>[123](?:\.[01])?)(?![.]?\d)(?: of the license)?{_LATER}")
+_BEFORE = re.compile(rf"(?<!\w)(?:version |v)(?P<v>[123](?:\.[01])?)(?: only)?{_LATER} of the $")
+
+
+def _versioned(mark: str, level: str, start: int, end: int) -> str:
+    """The licence that a GNU licence's name at level[start:end] means, with the version around it; '' if there is none."""
+    m = _AFTER.match(level, end)
+    if not m or not _edge(level, m.end()):
+        m = _BEFORE.search(level[max(0, start - 80) : start])
+    if not m:
+        return ""
+    v = m["v"] if "." in m["v"] else f"{m['v']}.0"
+    return NAME_OF.get(f"{mark[1:]}-{v}-{'or-later' if m['later'] else 'only'}".lower(), "")
+
+
+def _resolve(marks: set[str], names: set[str]) -> set[str]:
+    """The licences that marks stand for, beside the names found."""
+    out = {x for mark, x in UNVERSIONED.items() if mark in marks and not any(n.startswith(f"{mark[1:]}-") for n in names)}
+    if BSD_BODY in marks:
+        out.add("BSD-4-Clause" if BSD_ADVERTISING in marks else "BSD-3-Clause" if BSD_NAMES in marks else "BSD-2-Clause")
+    return out
+
+
 def _edge(text: str, at: int) -> bool:
     return at < 0 or at >= len(text) or not text[at].isalnum()
 
@@ -192,6 +233,7 @@ def _edge(text: str, at: int) -> bool:
 def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[list[str], list[str], str]:
     """Licences named in the text, expressions of its tags, and the restriction of all of them together."""
     names: set[str] = set()
+    marks: set[str] = set()
     expressions: dict[str, str] = {}
     kinds = {"none"}
     if text:
@@ -200,9 +242,13 @@ def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[list[str], lis
         for end, (length, identifier) in found.iter_long(level):
             if not identifier:
                 tagged = True
-            elif _edge(level, end - length) and _edge(level, end + 1):
-                names.add(identifier)
-                kinds.add(_kind(identifier))
+            elif not _edge(level, end - length):
+                continue
+            elif identifier in UNVERSIONED and (name := _versioned(identifier, level, end + 1 - length, end + 1)):
+                names.add(name)
+            elif _edge(level, end + 1):
+                (marks if identifier[0] == "?" else names).add(identifier)
+        kinds.update(map(_kind, names))
         if tagged:
             for m in re.finditer(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)", text):
                 tree, taken = parse(m[1])
@@ -211,7 +257,9 @@ def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[list[str], lis
                 else:
                     expressions[str(tree)] = tree.kind()
                     names.update(tree.names())
-        kinds.update(expressions.values())
+        rest = _resolve(marks, names)
+        names |= rest
+        kinds.update(map(_kind, rest), expressions.values())
     return sorted(names), sorted(expressions), RANKS[max(RANKS.index(k) for k in kinds)]
 
 

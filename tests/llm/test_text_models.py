@@ -246,6 +246,33 @@ def test_scan(docs):
         assert set(licences.scan(r["text"], found)[0]) == want
 
 
+_FSF = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as
+published by the Free Software Foundation{1} version {2} of the License{3}. This program is distributed in the hope that it will be useful. See the
+GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program."""
+_BSD = "Copyright (c) 2010, A. Author. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that"
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "kind"),
+    [
+        (_FSF.format("", "; either", "2", ", or (at your option) any later version"), ["GPL-2.0-or-later"], "copyleft"), (_FSF.format("", ", either", "3", ", or (at your option) any later version"), ["GPL-3.0-or-later"], "copyleft"),
+        (_FSF.format("", ";", "2", ""), ["GPL-2.0-only"], "copyleft"), (_FSF.format("Lesser ", "; either", "2.1", ", or (at your option) any later version"), ["LGPL-2.1-or-later"], "weak-copyleft"),
+        (_FSF.format("Library ", "; either", "2", ", or (at your option) any later version"), ["LGPL-2.0-or-later"], "weak-copyleft"), (_FSF.format("Affero ", ", either", "3", ", or (at your option) any later version"), ["AGPL-3.0-or-later"], "network-copyleft"),
+        ("released under the GNU GPL.", ["GPL-1.0-or-later"], "copyleft"), ("the GNU General Public License applies", ["GPL-1.0-or-later"], "copyleft"), ("GNU GPLv3+ code", ["GPL-3.0-or-later"], "copyleft"), ("GNU GPL v2", ["GPL-2.0-only"], "copyleft"),
+        ("under version 2 or later of the GNU General Public License", ["GPL-2.0-or-later"], "copyleft"),
+        (_BSD, ["BSD-2-Clause"], "permissive"), (_BSD + " ... may be used to endorse or promote products derived from this software", ["BSD-3-Clause"], "permissive"),
+        (_BSD + " ... All advertising materials mentioning features or use of this software ... endorse or promote products derived from", ["BSD-4-Clause"], "permissive"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", ["ISC"], "permissive"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED", ["0BSD"], "public-domain"),
+        ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ["Zlib"], "permissive"),
+        ("Copyright 2010. All rights reserved.", ["LicenseRef-Proprietary"], "proprietary"), ("used to endorse or promote products derived from", [], "none"),
+    ],
+)
+def test_standard_headers(text, names, kind):
+    found = licences.scan(text, licences.automaton())
+    assert (found[0], found[2]) == (names, kind)
+
+
 def test_licences_odd(odd, empty):
     out = licences.scan_licences(odd).collect()
     assert len(out) == odd.count() and all(r["restriction"] == "none" and r["allowed"] for r in out)
