@@ -1,6 +1,7 @@
 """Language-model scoring by deleted interpolation.
 
-The model is over bytes: the probability of a byte after its context mixes the
+The query's model is over words (score_words): trigrams, whose number grows with
+the corpus; score is the same over bytes, as follows. The probability of a byte after its context mixes the
 maximum-likelihood estimates of orders ORDER to 1 and a uniform one. How much
 an order counts depends on how often its context was seen (one weight for each
 power of two); the weights are learned by expectation-maximisation on held-out
@@ -21,7 +22,7 @@ any length are scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, read
-from .kernels import slices
+from .kernels import Slice, slices, words
+from .kernels import mix as _mix_bits
 
 ORDER = 5
 CHUNK_BYTES = 24 << 20
@@ -124,15 +126,15 @@ def _events(tables: list[DataFrame]) -> DataFrame:
     return out.select("weight", *[f"p{k}" for k in range(ORDER, 0, -1)], *[f"b{k}" for k in range(ORDER, 0, -1)])
 
 
-def mix(p: np.ndarray, b: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mix(p: np.ndarray, b: np.ndarray, weights: np.ndarray, base: float = 1 / 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probability of each event, and for each order the share of it that stops there and that gets there.
 
-    p, b: events x ORDER, highest order first; weights: ORDER x BUCKETS.
+    p, b: events x orders, highest order first; weights: orders x BUCKETS; base: the uniform estimate.
     """
-    w = np.where(b >= 0, weights[np.arange(ORDER)[None, :], np.maximum(b, 0)], 0.0)
+    w = np.where(b >= 0, weights[np.arange(len(weights))[None, :], np.maximum(b, 0)], 0.0)
     go_on = np.cumprod(np.concatenate([np.ones((len(p), 1)), 1 - w], axis=1), axis=1)
     stop = go_on[:, :-1] * w * p
-    last = go_on[:, -1] / 256.0
+    last = go_on[:, -1] * base
     total = stop.sum(axis=1) + last
     stop = stop / total[:, None]
     after = 1.0 - np.cumsum(stop, axis=1)
@@ -140,16 +142,18 @@ def mix(p: np.ndarray, b: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray,
     return total, stop, reach
 
 
-def _expect(weights: np.ndarray):
+def _expect(weights: np.ndarray, base: float):
+    orders = len(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num, den, like = np.zeros((ORDER, BUCKETS)), np.zeros((ORDER, BUCKETS)), 0.0
+        num, den, like = np.zeros((orders, BUCKETS)), np.zeros((orders, BUCKETS)), 0.0
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + 2 * ORDER)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + 2 * orders)]
             weight = cols[0].astype(float)
-            p, b = np.stack(cols[1 : 1 + ORDER], axis=1), np.stack(cols[1 + ORDER :], axis=1).astype(np.int64)
-            total, stop, reach = mix(p, b, weights)
+            p, b = np.stack(cols[1 : 1 + orders], axis=1), np.stack(cols[1 + orders :], axis=1).astype(np.int64)
+            total, stop, reach = mix(p, b, weights, base)
             like += float((weight * np.log(total)).sum())
-            for k in range(ORDER):
+            for k in range(orders):
                 seen = b[:, k] >= 0
                 num[k] += np.bincount(b[seen, k], weight[seen] * stop[seen, k], minlength=BUCKETS)
                 den[k] += np.bincount(b[seen, k], weight[seen] * np.maximum(reach[seen, k], 0.0), minlength=BUCKETS)
@@ -159,11 +163,11 @@ def _expect(weights: np.ndarray):
     return run
 
 
-def learn(events: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (ORDER x BUCKETS, highest order first) by expectation-maximisation; a bucket without events keeps a half."""
-    weights = np.full((ORDER, BUCKETS), 0.5)
+def learn(events: DataFrame, rounds: int = ROUNDS, base: float = 1 / 256) -> np.ndarray:
+    """Weights (orders x BUCKETS, highest order first) by expectation-maximisation; a bucket without events keeps a half."""
+    weights = np.full(((len(events.columns) - 1) // 2, BUCKETS), 0.5)
     for _ in range(rounds):
-        rows = events.mapInArrow(_expect(weights), "k long, bucket long, num double, den double").groupBy("k", "bucket").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect()
+        rows = events.mapInArrow(_expect(weights, base), "k long, bucket long, num double, den double").groupBy("k", "bucket").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect()
         new = weights.copy()
         for r in rows:
             if r["k"] >= 0 and r["den"] > 0:
@@ -220,22 +224,31 @@ class _Lookup:
         return out
 
 
-def _score_chunk(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _byte_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    return codes(s.data, s.offsets), s.offsets
+
+
+def _score_with(docs: pa.Table, answers: pa.Table, grams: Callable[[Slice], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     look = _Lookup(answers.column("gram").to_numpy())
     logp = answers.column("logp").to_numpy()
     n = docs.num_rows
     total, size = np.zeros(n), np.zeros(n, dtype=np.int64)
     for s in slices(docs.column("text"), 1 << 20):
         length = np.diff(s.offsets)
-        full = np.flatnonzero(length)
+        codes_, row_at = grams(s)
+        full = np.flatnonzero(np.diff(row_at))
         if len(full):
-            each = logp[look.rows(codes(s.data, s.offsets))].astype(np.float64)
-            total[s.first + full] = np.add.reduceat(each, s.offsets[full])
+            each = logp[look.rows(codes_)].astype(np.float64)
+            total[s.first + full] = np.add.reduceat(each, row_at[full])
         size[s.first : s.first + s.rows] = length
     bits = -total / np.maximum(size, 1) / np.log(2)
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": size, "log_prob": total, "bits_per_byte": pa.array(bits, mask=size == 0)})
 
 
+def _score_chunk(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    return _score_with(docs, answers, _byte_grams)
+
+
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_bytes, log_prob (natural), bits_per_byte for every document, by a model of all of them."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -253,5 +266,88 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray |
     return texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
 
 
+def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix_bits(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _word_keys(s: Slice) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each word the keys of its trigram, bigram and itself, and of the contexts of the first two; and the rows' offsets. No word before a text counts as 0."""
+    w = words(s)
+    at = np.arange(len(w.hash)) - np.repeat(w.row_at[:-1], np.diff(w.row_at))
+    one, two = (np.where(at >= k, np.concatenate([np.zeros(k, np.uint64), w.hash])[: len(w.hash)], np.uint64(0)) for k in (1, 2))
+    pair = _together(one, w.hash)
+    return [x.view(np.int64) for x in (_together(two, pair), pair, w.hash, _together(two, one), one)], w.row_at
+
+
+def _word_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    keys, row_at = _word_keys(s)
+    return keys[0], row_at
+
+
+_KEYS = ["g3", "g2", "g1", "c3", "c2"]
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """The keys, chunk, n, held of the distinct word trigrams of one chunk."""
+    held = table.column("held").to_numpy()
+    parts, out = [], []
+    for s in slices(table.column("text"), _SLICE):
+        keys, row_at = _word_keys(s)
+        parts.append(keys)
+        out.append(np.repeat(held[s.first : s.first + s.rows], np.diff(row_at)))
+    keys = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+    kept = np.concatenate(out) if out else np.zeros(0, bool)
+    order = np.argsort(keys[0], kind="stable")
+    g = keys[0][order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate([first, [len(g)]]))
+    h = np.add.reduceat(kept[order].astype(np.int64), first) if len(g) else np.zeros(0, np.int64)
+    chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
+    return pa.table({k: x[order[first]] for k, x in zip(_KEYS, keys, strict=True)} | {"chunk": np.full(len(first), chunk, dtype=np.int32), "n": n.astype(np.int64)[: len(first)], "held": h})
+
+
+def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_bytes, log_prob (natural) of the text's words, bits_per_byte for every document, by a model of word trigrams of all of them.
+
+    Lowest is a uniform choice among the corpus's words; white space costs nothing.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    ident = F.xxhash64("doc_id", F.lit(1))
+    texts = docs.select("doc_id", "text", F.pmod(ident, F.lit(chunks)).cast("int").alias("chunk"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(HELD_OUT)) == 0).alias("held"))
+    asked, _ = materialise(texts.select("chunk", "held", "text").groupBy("chunk").applyInArrow(_count_words, ", ".join(f"{k} long" for k in _KEYS) + ", chunk int, n long, held long"))
+    sums = [F.sum("n").alias("n"), F.sum("held").alias("held")]
+    grams, _ = materialise(asked.groupBy(*_KEYS).agg(*sums))
+    single, _ = materialise(grams.groupBy("g1").agg(*sums))
+    all_ = single.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum("held").alias("held")).first()
+    base = 1 / max(1, all_["words"])
+    tables = [  # key, low (the key of the next order), n, held, those of the context
+        t.select(F.col(key).alias("key"), F.col(low).alias("low"), "n", "held", F.sum("n").over(Window.partitionBy(context)).alias("cn"), F.sum("held").over(Window.partitionBy(context)).alias("ch"))
+        for t, key, low, context in ((grams, "g3", "g2", "c3"), (grams.groupBy("g2", "g1", "c2").agg(*sums), "g2", "g1", "c2"))
+    ]
+    tables.append(single.select(F.col("g1").alias("key"), F.lit(0).cast("long").alias("low"), "n", "held", F.lit(all_["n"] or 1).cast("long").alias("cn"), F.lit(all_["held"] or 0).cast("long").alias("ch")))
+    if weights is None:
+        events = None
+        for k, t in zip((3, 2, 1), tables, strict=True):
+            n, cn = F.col("n") - F.col("held"), F.col("cn") - F.col("ch")
+            t = t.select(F.col("key").alias(f"k{k}"), F.col("low").alias(f"l{k}"), "held", F.when(cn > 0, n / cn).otherwise(F.lit(0.0)).alias(f"p{k}"), _bucket(cn).alias(f"b{k}"))
+            events = t.where("held > 0").withColumnRenamed("held", "weight") if events is None else events.join(t.drop("held"), F.col(f"l{k + 1}") == F.col(f"k{k}"))
+        events, _ = materialise(events.select("weight", "p3", "p2", "p1", "b3", "b2", "b1"))
+        weights = learn(events, ROUNDS, base)
+    below = None
+    for k in (2, 1, 0):
+        w = F.element_at(F.array(*[F.lit(float(x)) for x in weights[k]]), F.least(_bucket(F.col("cn")), F.lit(BUCKETS - 1)) + 1)
+        t = tables[k].withColumn("w", w)
+        t = t.withColumn("q", F.lit(base)) if below is None else t.join(below.select(F.col("key").alias("k"), F.col("p").alias("q")), F.col("low") == F.col("k"))
+        below = t.select("key", (F.col("w") * F.col("n") / F.col("cn") + (1 - F.col("w")) * F.col("q")).alias("p"))
+    answers = asked.select("g3", "chunk").join(below, F.col("g3") == F.col("key")).select("chunk", F.col("g3").alias("gram"), F.log("p").cast("float").alias("logp"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return _score_with(docs, answers, _word_grams)
+
+    return texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents"))
+    return score_words(read(spark, sf_dir, "documents"))

@@ -98,6 +98,34 @@ def test_lm_learns(spark):
     assert seen == sorted(seen) and seen[-1] > seen[0]
 
 
+def test_word_model_by_brute_force(spark, docs, odd, empty):
+    """Word trigrams, in several chunks; the query itself depends on word order; odd tables."""
+    few = docs.where("doc_id < 25")
+    weights = np.random.default_rng(1).uniform(0.2, 0.8, (3, language_model.BUCKETS))
+    got = {r["doc_id"]: r for r in language_model.score_words(few, 20_000, weights).collect()}
+    texts = {r["doc_id"]: ["", "", *r["text"].encode().split()] for r in few.collect()}
+    count: collections.Counter = collections.Counter()
+    for w in texts.values():
+        for i in range(2, len(w)):
+            for k in (1, 2, 3):
+                count[tuple(w[i - k + 1 : i + 1])] += 1
+                count["before", tuple(w[i - k + 1 : i])] += 1
+    vocabulary = len({x for w in texts.values() for x in w[2:]})
+    for doc_id, w in texts.items():
+        total = 0.0
+        for i in range(2, len(w)):
+            p = 1 / vocabulary
+            for k in (1, 2, 3):
+                c = count["before", tuple(w[i - k + 1 : i])]
+                x = weights[3 - k, int(math.log2(c))]
+                p = x * count[tuple(w[i - k + 1 : i + 1])] / c + (1 - x) * p
+            total += math.log(p)
+        assert got[doc_id]["log_prob"] == pytest.approx(total, rel=1e-5)
+    out = language_model.score_words(odd).collect()
+    assert len(out) == odd.count() and all((r["bits_per_byte"] is None) == (r["n_bytes"] == 0) for r in out)
+    assert language_model.score_words(empty).count() == 0
+
+
 def test_lm_odd(odd, empty):
     out = language_model.score(odd).collect()
     assert len(out) == odd.count()
