@@ -8,33 +8,37 @@ power of two); the weights are learned by expectation-maximisation on held-out
 counts: a hashed share of the documents, whose own counts are deleted from the
 estimates that predict them. The scores then use the counts of all documents.
 
-Documents are gathered in chunks of about CHUNK_BYTES of text. A chunk asks for
-the probabilities of its distinct n-grams and gets just those back, so nothing
-that grows with the corpus is held in one place: what moves is the texts and a
-row for each distinct n-gram of each chunk.
+The word model works on chunks of documents (see exchange): a chunk's distinct
+words get numbers and counts, then its distinct pairs and triples of numbers get
+their counts, part by part, so nothing that grows with the corpus is held in one
+place, and texts don't move. The bytes' model gathers documents in chunks, which
+ask for the probabilities of their distinct n-grams.
 
 Cases: null and empty texts have no bytes: log_prob 0, bits_per_byte null;
-a context of fewer than ORDER - 1 bytes is filled up with zero bytes; rows that
-repeat are counted and scored each; a null doc_id is a document as any other;
-an empty table gives an empty result; further columns are not read; texts of
-any length are scored whole.
+a context that reaches before the text is filled up (with zero bytes, or with a
+word that no text holds); rows that repeat are counted and scored each, and held
+out together; a null doc_id is a document as any other; an empty table gives an
+empty result; further columns are not read; texts of any length are scored
+whole; more than 2**32 distinct words are refused.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, read
+from .exchange import BLOBS, CHUNK_BYTES, Packer, Unpacker, blobs, bounds, opened, parts_for, text_bytes, write_chunks
 from .kernels import Slice, slices, words
-from .kernels import mix as _mix_bits
 
 ORDER = 5
-CHUNK_BYTES = 24 << 20
 #: One document in so many is held out to learn the weights.
 HELD_OUT = 16
 BUCKETS = 48
@@ -43,6 +47,10 @@ TOLERANCE = 1e-4
 _SLICE = 4 << 20
 
 
+def _held() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(HELD_OUT)) == 0
+
+
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The n-gram that ends at each byte, as a number; bytes before the text count as zero."""
     at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -253,8 +261,8 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray |
     """doc_id, n_bytes, log_prob (natural), bits_per_byte for every document, by a model of all of them."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    ident = F.xxhash64("doc_id", F.lit(1))
-    texts = docs.select("doc_id", "text", F.pmod(ident, F.lit(chunks)).cast("int").alias("chunk"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(HELD_OUT)) == 0).alias("held"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(chunks)).cast("int")
+    texts = docs.select("doc_id", "text", chunk.alias("chunk"), _held().alias("held"))
     asked, _ = materialise(texts.select("chunk", "held", "text").groupBy("chunk").applyInArrow(_count_chunk, "gram long, chunk int, n long, held long"))
     grams, _ = materialise(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held")))
     tables = _tables(grams)
@@ -266,44 +274,186 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray |
     return texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
 
 
-def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix_bits(a * np.uint64(0x9E3779B97F4A7C15) + b)
-
-
-def _word_keys(s: Slice) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each word the keys of its trigram, bigram and itself, and of the contexts of the first two; and the rows' offsets. No word before a text counts as 0."""
-    w = words(s)
-    at = np.arange(len(w.hash)) - np.repeat(w.row_at[:-1], np.diff(w.row_at))
-    one, two = (np.where(at >= k, np.concatenate([np.zeros(k, np.uint64), w.hash])[: len(w.hash)], np.uint64(0)) for k in (1, 2))
-    pair = _together(one, w.hash)
-    return [x.view(np.int64) for x in (_together(two, pair), pair, w.hash, _together(two, one), one)], w.row_at
-
-
-def _word_grams(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    keys, row_at = _word_keys(s)
-    return keys[0], row_at
-
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and for each value its place among them."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = y[1:] != y[:-1]
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return y[new], place
+
+
+def _sums(place: np.ndarray, amounts: np.ndarray, n: int) -> np.ndarray:
+    """Sums by place; exact below 2**53."""
+    return np.bincount(place, amounts, minlength=n).astype(np.int64)
+
+
+class _Vocabulary:
+    """A chunk's words: their hashes, ascending (0 stands for the place before a text), how often each comes and is a context."""
+
+    def __init__(self, docs: pa.Table):
+        self.docs = docs
+        hashes, ends, at = [], [np.zeros(1, np.int64)], 0
+        for s in slices(docs.column("text"), 1 << 20):
+            w = words(s)
+            hashes.append(w.hash)
+            ends.append(at + w.row_at[1:])
+            at += len(w.hash)
+        self.row_at = np.concatenate(ends)
+        self.keys, place = _distinct(np.concatenate([*hashes, np.zeros(1, np.uint64)]))
+        self.word = place[:-1]
+        self.head = np.zeros(at, dtype=bool)
+        self.head[self.row_at[:-1][np.diff(self.row_at) > 0]] = True
+        self.before = np.where(self.head, 0, np.concatenate([[0], self.word])[:at])
+        self.n = np.bincount(self.word, minlength=len(self.keys))
+        self.cn = np.bincount(self.before, minlength=len(self.keys))
+
+
+def _ask_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = _Vocabulary(opened(data))
+                at = bounds(v.keys, parts)
+                made = [(p, Packer().keys(v.keys[a:b]).numbers(v.n[a:b]).numbers(v.cn[a:b]).done()) for p, (a, b) in enumerate(itertools.pairwise(at.tolist())) if a < b]
+                yield from blobs(chunk, made).to_batches()
 
-_KEYS = ["g3", "g2", "g1", "c3", "c2"]
+    return run
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """The keys, chunk, n, held of the distinct word trigrams of one chunk."""
-    held = table.column("held").to_numpy()
-    parts, out = [], []
-    for s in slices(table.column("text"), _SLICE):
-        keys, row_at = _word_keys(s)
-        parts.append(keys)
-        out.append(np.repeat(held[s.first : s.first + s.rows], np.diff(row_at)))
-    keys = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-    kept = np.concatenate(out) if out else np.zeros(0, bool)
-    order = np.argsort(keys[0], kind="stable")
-    g = keys[0][order]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([first, [len(g)]]))
-    h = np.add.reduceat(kept[order].astype(np.int64), first) if len(g) else np.zeros(0, np.int64)
-    chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-    return pa.table({k: x[order[first]] for k, x in zip(_KEYS, keys, strict=True)} | {"chunk": np.full(len(first), chunk, dtype=np.int32), "n": n.astype(np.int64)[: len(first)], "held": h})
+#: Answers to a chunk, or (chunk -1) a part's sums: distinct words, tokens of all documents and of those not held out, and ranks.
+_ANSWERS = BLOBS + ", words long, tokens long, kept long, ranks long"
+
+
+def _answers(rows: list[tuple[int, int, bytes]], sums: tuple[int, ...] | None = None) -> pa.Table:
+    rows = rows + ([(-1, -1, b"")] if sums else [])
+    table = pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+    for k, name in enumerate(("words", "tokens", "kept", "ranks")):
+        table = table.append_column(name, pa.array([None] * (len(rows) - bool(sums)) + ([sums[k]] if sums else []), pa.int64()))
+    return table
+
+
+def _merge_words(table: pa.Table) -> pa.Table:
+    """Numbers one part's words, and answers each chunk: the words' ranks, counts and counts as contexts (to held-out chunks also without held-out documents)."""
+    chunks, part = table.column("chunk").to_pylist(), table.column("part")[0].as_py()
+    keys, n, cn = zip(*((u.keys(), u.numbers().astype(np.int64), u.numbers().astype(np.int64)) for u in map(Unpacker, table.column("data").to_pylist())), strict=True)
+    size = [len(k) for k in keys]
+    distinct, place = _distinct(np.concatenate(keys))
+    kept = np.repeat([c % 2 == 0 for c in chunks], size)
+    every, free = ([_sums(place, np.concatenate(x) * f, len(distinct)) for x in (n, cn)] for f in (1, kept))
+    out, lo = [], 0
+    for chunk, k in zip(chunks, size, strict=True):
+        mine, lo = place[lo : lo + k], lo + k
+        p = Packer().keys(mine.astype(np.uint64))
+        for counts in every + (free if chunk % 2 else []):
+            p.numbers(counts[mine])
+        out.append((chunk, part, p.done()))
+    return _answers(out, (int((every[0] > 0).sum()), int(every[0].sum()), int(free[0].sum()), len(distinct)))
+
+
+@dataclass
+class _Model:
+    """What is known of all words: bits of a word's number, parts, distinct words, tokens of all documents and of those not held out."""
+
+    bits: int
+    parts: int
+    words: int
+    tokens: int
+    kept: int
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of numbers as numbers of twice the bits, shuffled one to one, so that parts are of like size."""
+        half, mask = np.uint64(self.bits), np.uint64((1 << (2 * self.bits)) - 1)
+        x = (a << half) | b
+        for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            x = (x * np.uint64(factor)) & mask
+            x ^= x >> half
+        return x
+
+
+class _Grams:
+    """A chunk's pairs and triples of words, and the answers to them."""
+
+    def __init__(self, docs: pa.Table, answers: pa.Table, model: _Model, held: bool):
+        self.model, self.held = model, held
+        v = self.v = _Vocabulary(docs)
+        ranks, counts = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] for _ in range(4)]
+        for part, u in self._read(answers, 1):
+            ranks.append(u.keys() * np.uint64(model.parts) + np.uint64(part))
+            for k in range(4 if held else 2):
+                counts[k].append(u.numbers().astype(np.int64))
+        number = np.concatenate(ranks)
+        self.word_counts = [np.concatenate(x) for x in counts]
+        self.number = number[v.word]
+        if not len(v.word):
+            self.pairs, self.triples = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return
+        pad = number[:1]
+        codes = model.pairs(np.concatenate([number[v.before], pad]), np.concatenate([self.number, pad]))
+        self.pairs, place = _distinct(codes)
+        self.pair = place[:-1]
+        self.context = np.where(v.head, place[-1], np.concatenate([[0], self.pair])[: len(v.word)])
+        self.triples, self.triple = _distinct((self.context.astype(np.uint64) << np.uint64(32)) | self.number)
+
+    @staticmethod
+    def _read(answers: pa.Table, step: int) -> Iterator[tuple[int, Unpacker]]:
+        some = answers.filter(pc.equal(answers.column("step"), step)).sort_by("part")
+        for part, data in zip(some.column("part").to_pylist(), some.column("data").to_pylist(), strict=True):
+            yield part, Unpacker(data)
+
+    def ask(self) -> list[tuple[int, bytes]]:
+        n = np.bincount(self.pair, minlength=len(self.pairs)) if len(self.pairs) else self.pairs
+        m = np.bincount(self.triple, minlength=len(self.triples)) if len(self.pairs) else self.pairs
+        context = (self.triples >> np.uint64(32)).astype(np.int64)
+        after = np.bincount(context, minlength=len(self.pairs))
+        at = bounds(self.pairs, self.model.parts, 2 * self.model.bits)
+        to = np.searchsorted(context, at)
+        last = self.triples & np.uint64(0xFFFFFFFF)
+        return [(p, Packer().keys(self.pairs[a:b]).numbers(n[a:b]).numbers(after[a:b]).numbers(last[to[p] : to[p + 1]]).numbers(m[to[p] : to[p + 1]]).done()) for p, (a, b) in enumerate(itertools.pairwise(at.tolist())) if a < b]
+
+    def estimates(self, answers: pa.Table, kept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct triple, of all documents or only of those that aren't held out: estimates p, contexts' buckets b (triples x orders); a place where it comes; how often it comes."""
+        counts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for _, u in self._read(answers, 2):
+            for k in range(6 if self.held else 3):
+                counts[k].append(u.numbers().astype(np.int64))
+        pair_n, pair_cn, triple_n = (np.concatenate(x) for x in counts[3 * kept : 3 * kept + 3])
+        word_n, word_cn = self.word_counts[2 * kept : 2 * kept + 2]
+        at = np.empty(len(self.triples), dtype=np.int64)
+        at[self.triple] = np.arange(len(self.triple))
+        total = self.model.kept if kept else self.model.tokens
+        tops = (triple_n, pair_n[self.pair[at]], word_n[self.v.word[at]])
+        contexts = (pair_cn[self.context[at]], word_cn[self.v.before[at]], np.full(len(at), total))
+        p = np.stack([np.where(c > 0, n / np.maximum(c, 1), 0.0) for n, c in zip(tops, contexts, strict=True)], axis=1)
+        b = np.stack([np.frexp(c.astype(np.float64))[1] - 1 for c in contexts], axis=1)
+        return p, b, at, np.bincount(self.triple, minlength=len(at))
+
+
+def _merge_grams(table: pa.Table) -> pa.Table:
+    """Counts one part's pairs and triples, and answers each chunk: pairs' counts and counts as contexts, triples' counts."""
+    chunks, part = table.column("chunk").to_pylist(), table.column("part")[0].as_py()
+    keys, n, after, last, m = zip(*((u.keys(), *(u.numbers().astype(np.int64) for _ in range(4))) for u in map(Unpacker, table.column("data").to_pylist())), strict=True)
+    size, more = [len(x) for x in keys], [len(x) for x in last]
+    distinct, place = _distinct(np.concatenate(keys))
+    context = np.repeat(place, np.concatenate(after)).astype(np.uint64)
+    triples, where = _distinct((context << np.uint64(32)) | np.concatenate(last).astype(np.uint64))
+    of = (triples >> np.uint64(32)).astype(np.int64)
+    every = []
+    for free in (False, True):
+        pair_f, triple_f = (np.repeat([not free or c % 2 == 0 for c in chunks], x) for x in (size, more))
+        counted = _sums(where, np.concatenate(m) * triple_f, len(triples))
+        every += [_sums(place, np.concatenate(n) * pair_f, len(distinct)), _sums(of, counted, len(distinct)), counted]
+    out, lo, to = [], 0, 0
+    for chunk, k, t in zip(chunks, size, more, strict=True):
+        mine, theirs = place[lo : lo + k], where[to : to + t]
+        lo, to = lo + k, to + t
+        p = Packer()
+        for i, counts in enumerate(every if chunk % 2 else every[:3]):
+            p.numbers(counts[theirs if i % 3 == 2 else mine])
+        out.append((chunk, part, p.done()))
+    return _answers(out)
 
 
 def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray | None = None) -> DataFrame:
@@ -311,42 +461,53 @@ def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.nda
 
     Lowest is a uniform choice among the corpus's words; white space costs nothing.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    ident = F.xxhash64("doc_id", F.lit(1))
-    texts = docs.select("doc_id", "text", F.pmod(ident, F.lit(chunks)).cast("int").alias("chunk"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(HELD_OUT)) == 0).alias("held"))
-    asked, _ = materialise(texts.select("chunk", "held", "text").groupBy("chunk").applyInArrow(_count_words, ", ".join(f"{k} long" for k in _KEYS) + ", chunk int, n long, held long"))
-    sums = [F.sum("n").alias("n"), F.sum("held").alias("held")]
-    grams, _ = materialise(asked.groupBy(*_KEYS).agg(*sums))
-    single, _ = materialise(grams.groupBy("g1").agg(*sums))
-    all_ = single.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum("held").alias("held")).first()
-    base = 1 / max(1, all_["words"])
-    tables = [  # key, low (the key of the next order), n, held, those of the context
-        t.select(F.col(key).alias("key"), F.col(low).alias("low"), "n", "held", F.sum("n").over(Window.partitionBy(context)).alias("cn"), F.sum("held").over(Window.partitionBy(context)).alias("ch"))
-        for t, key, low, context in ((grams, "g3", "g2", "c3"), (grams.groupBy("g2", "g1", "c2").agg(*sums), "g2", "g1", "c2"))
-    ]
-    tables.append(single.select(F.col("g1").alias("key"), F.lit(0).cast("long").alias("low"), "n", "held", F.lit(all_["n"] or 1).cast("long").alias("cn"), F.lit(all_["held"] or 0).cast("long").alias("ch")))
+    size = text_bytes(docs)
+    parts = parts_for(size)
+    chunks = write_chunks(docs.select("doc_id", "text", _held().alias("held")), size, chunk_bytes)
+    asked = chunks.mapInArrow(_ask_words(parts), BLOBS)
+    numbered, _ = materialise(asked.groupBy("part").applyInArrow(_merge_words, _ANSWERS))
+    all_ = numbered.where("chunk < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "kept")], F.coalesce(F.max("ranks"), F.lit(0)).alias("ranks")).first()
+    bits = max(8, (all_["ranks"] * parts).bit_length())
+    if bits > 32:
+        raise ValueError("more than 2**32 words; their pairs don't fit 64 bits")
+    model = _Model(bits, parts, all_["words"], all_["tokens"], all_["kept"])
+    numbers = numbered.where("chunk >= 0").select("chunk", F.lit(1).alias("step"), "part", "data")
+
+    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = docs.column("chunk")[0].as_py()
+        return blobs(chunk, _Grams(opened(docs.column("data")[0]), answers, model, chunk % 2 == 1).ask())
+
+    wanted = chunks.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(ask, BLOBS)
+    counted, _ = materialise(wanted.groupBy("part").applyInArrow(_merge_grams, _ANSWERS))
+    answers = numbers.unionByName(counted.select("chunk", F.lit(2).alias("step"), "part", "data"))
+    base = 1 / max(1, model.words)
     if weights is None:
-        events = None
-        for k, t in zip((3, 2, 1), tables, strict=True):
-            n, cn = F.col("n") - F.col("held"), F.col("cn") - F.col("ch")
-            t = t.select(F.col("key").alias(f"k{k}"), F.col("low").alias(f"l{k}"), "held", F.when(cn > 0, n / cn).otherwise(F.lit(0.0)).alias(f"p{k}"), _bucket(cn).alias(f"b{k}"))
-            events = t.where("held > 0").withColumnRenamed("held", "weight") if events is None else events.join(t.drop("held"), F.col(f"l{k + 1}") == F.col(f"k{k}"))
-        events, _ = materialise(events.select("weight", "p3", "p2", "p1", "b3", "b2", "b1"))
-        weights = learn(events, ROUNDS, base)
-    below = None
-    for k in (2, 1, 0):
-        w = F.element_at(F.array(*[F.lit(float(x)) for x in weights[k]]), F.least(_bucket(F.col("cn")), F.lit(BUCKETS - 1)) + 1)
-        t = tables[k].withColumn("w", w)
-        t = t.withColumn("q", F.lit(base)) if below is None else t.join(below.select(F.col("key").alias("k"), F.col("p").alias("q")), F.col("low") == F.col("k"))
-        below = t.select("key", (F.col("w") * F.col("n") / F.col("cn") + (1 - F.col("w")) * F.col("q")).alias("p"))
-    answers = asked.select("g3", "chunk").join(below, F.col("g3") == F.col("key")).select("chunk", F.col("g3").alias("gram"), F.log("p").cast("float").alias("logp"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+        def events(docs: pa.Table, answers: pa.Table) -> pa.Table:
+            g = _Grams(opened(docs.column("data")[0]), answers, model, True)
+            p, b, _, n = g.estimates(answers, True) if len(g.triples) else (np.zeros((0, 3)), np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64))
+            return pa.table({"weight": n.astype(np.int64)} | {f"p{3 - k}": p[:, k] for k in range(3)} | {f"b{3 - k}": b[:, k].astype(np.int32) for k in range(3)})
+
+        odd = "chunk % 2 = 1"
+        heldout = chunks.where(odd).groupBy("chunk").cogroup(answers.where(odd).groupBy("chunk")).applyInArrow(events, "weight long, p3 double, p2 double, p1 double, b3 int, b2 int, b1 int")
+        weights = learn(materialise(heldout)[0], ROUNDS, base)
+    found = weights
 
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        return _score_with(docs, answers, _word_grams)
+        texts, chunk = opened(docs.column("data")[0]), docs.column("chunk")[0].as_py()
+        g = _Grams(texts, answers, model, chunk % 2 == 1)
+        total = np.zeros(texts.num_rows)
+        if len(g.triples):
+            p, b, _, _ = g.estimates(answers, False)
+            each = np.log(mix(p, np.minimum(b, BUCKETS - 1), found, base)[0])[g.triple]
+            full = np.flatnonzero(np.diff(g.v.row_at))
+            total[full] = np.add.reduceat(each, g.v.row_at[full])
+        length = np.asarray(pc.fill_null(pc.binary_length(texts.column("text")), 0)).astype(np.int64)
+        bits = -total / np.maximum(length, 1) / np.log(2)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": length, "log_prob": total, "bits_per_byte": pa.array(bits, mask=length == 0)})
 
-    return texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
