@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -84,18 +84,29 @@ def _cut(chunk_bytes: int, notes: Notes | None):
     return run
 
 
-def write_chunks(docs: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES, notes: Notes | None = None, note_types: str = "") -> DataFrame:
-    """docs (doc_id, text, held) as a written table chunk, data and the notes taken of each chunk; size: bytes of all texts."""
-    spark = docs.sparkSession
-    name, path = f"evalweave_{uuid.uuid4().hex}", f"{shared_dir(spark)}/evalweave-{uuid.uuid4().hex}"
+def _buckets(spark: SparkSession, size: int, chunk_bytes: int) -> int:
     # Fewer buckets than shuffles have partitions, and Spark would shuffle the chunks after all.
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0))
-    buckets = min(_MOST_BUCKETS, max(least, -(-size // (2 * chunk_bytes)), 1))
+    return min(_MOST_BUCKETS, max(least, -(-size // (2 * chunk_bytes)), 1))
+
+
+def write_chunks(docs: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES, notes: Notes | None = None, note_types: str = "") -> tuple[DataFrame, int]:
+    """docs (doc_id, text, held) as a written table chunk, data and the notes taken of each chunk; and its buckets. size: bytes of all texts."""
+    spark = docs.sparkSession
+    name, path = f"evalweave_{uuid.uuid4().hex}", f"{shared_dir(spark)}/evalweave-{uuid.uuid4().hex}"
+    buckets = _buckets(spark, size, chunk_bytes)
     chunks = docs.mapInArrow(_cut(chunk_bytes, notes), "chunk long, data binary" + note_types)
     chunks.write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and out reads them
-    return out
+    return out, buckets
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """chunk, data, answers (all rows of answers but for the chunk) for every chunk; chunks stay where they are."""
+    fields = F.struct(*[c for c in answers.columns if c != "chunk"])
+    lists = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(fields).alias("answers")).withColumnRenamed("chunk", "of")
+    return chunks.select("chunk", "data").join(lists.hint("merge"), F.col("chunk") == F.col("of"), "left").select("chunk", "data", "answers")
 
 
 def opened(data: bytes | pa.Scalar) -> pa.Table:

@@ -136,6 +136,14 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1])
 
 
+def range_sum(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the values h[begin:end] for each pair."""
+    power, inverse = _powers(len(h))
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def list_column(values: np.ndarray, row_at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(values, kind))

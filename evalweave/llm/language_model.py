@@ -463,7 +463,7 @@ def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.nda
     """
     size = text_bytes(docs)
     parts = parts_for(size)
-    chunks = write_chunks(docs.select("doc_id", "text", _held().alias("held")), size, chunk_bytes)
+    chunks, _ = write_chunks(docs.select("doc_id", "text", _held().alias("held")), size, chunk_bytes)
     asked = chunks.mapInArrow(_ask_words(parts), BLOBS)
     numbered, _ = materialise(asked.groupBy("part").applyInArrow(_merge_words, _ANSWERS))
     all_ = numbered.where("chunk < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "kept")], F.coalesce(F.max("ranks"), F.lit(0)).alias("ranks")).first()
