@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import matching as m
+from ..functions import scanning
 from ..functions import text as tx
-
-SMOKE_CAP = 0.2
-BINGO_CAP = 0.2
-PASS = 0.5
-GATE_WEIGHTS = {"quantitative": 0.45, "disambiguation": 0.35, "actions": 0.2}
+from . import rubrics
+from .rubrics import BINGO_CAP, BINGO_MESSAGE, GATE_NAMES, GATE_WEIGHTS, PASS, SMOKE_CAP
 
 
 def exact_match(output: Column, expected: str | None = "", case_insensitive: bool = True) -> Column:
@@ -37,37 +35,39 @@ def keyword(output: Column, expected: list[str]) -> Column:
     """Share of terms that occur where nothing negates them."""
     if not expected:
         return F.lit(1.0)
-    missing = sum(((~m.unnegated(output, t)).cast("int") for t in expected), F.lit(0))
-    return 1 - missing / len(expected)
+    return 1 - F.size(F.filter(scanning.hits(output, expected), lambda h: ~h)) / len(expected)
 
 
 def non_empty(output: Column, min_chars: int = 1) -> Column:
     return (tx.utf16_length(tx.trim(output)) >= min_chars).cast("double")
 
 
-def _hits(output: Column, gates: list[Mapping]) -> list[Column]:
-    return [m.any_unnegated(output, list(g["matchers"])) for g in gates]
-
-
 def mechanism(output: Column, criteria: Mapping) -> Column:
     """struct value, passed, bingo_guard_tripped, rationale of a mechanism rubric.
 
     Gates of three groups weigh .45, .35 and .2; vocabulary alone is capped, and
-    without a quantitative or disambiguating gate the value is 0.
+    without a quantitative or disambiguating gate the value is 0. A text is
+    scanned once for the matchers of all gates; a null text has no hits.
     """
-    groups = {g: _hits(output, criteria[g]) for g in GATE_WEIGHTS}
+    matchers = list(dict.fromkeys(x for g in GATE_WEIGHTS for gate in criteria[g] for x in gate["matchers"]))
+    bingo = list(criteria["bingoTokens"])
+    found = scanning.hits(output, matchers, bingo)
+
+    def any_of(places: list[int]) -> Column:
+        return F.array_contains(F.array(*[F.element_at(found, i + 1) for i in places]), True) if places else F.lit(False)
+
+    groups = {g: [any_of([matchers.index(x) for x in gate["matchers"]]) for gate in criteria[g]] for g in GATE_WEIGHTS}
     count = {g: sum((h.cast("int") for h in hits), F.lit(0)) for g, hits in groups.items()}
     share = {g: F.lit(1.0) if not hits else count[g] / len(hits) for g, hits in groups.items()}
     grounded = (count["quantitative"] > 0) | (count["disambiguation"] > 0)
-    tripped = m.any_present(output, list(criteria["bingoTokens"])) & ~grounded
-    total = GATE_WEIGHTS["quantitative"] * share["quantitative"] + GATE_WEIGHTS["disambiguation"] * share["disambiguation"] + GATE_WEIGHTS["actions"] * share["actions"]
+    tripped = any_of([len(matchers) + i for i in range(len(bingo))]) & ~grounded
+    total = sum((share[g] * w for g, w in GATE_WEIGHTS.items()), F.lit(0.0))
     value = F.when(tripped, F.lit(BINGO_CAP)).when(~grounded, F.lit(0.0)).otherwise(total)
-    names = {"quantitative": "quant", "disambiguation": "disambig", "actions": "action"}
-    missed = [F.when(~h, F.lit(f"{names[g]}[{gate['label']}]")) for g, hits in groups.items() for gate, h in zip(criteria[g], hits, strict=True)]
-    missed.append(F.when(tripped, F.lit("ANTI-BINGO: vocabulary without any quantitative or disambiguating anchor")))
+    missed = [F.when(~h, F.lit(f"{GATE_NAMES[g]}[{gate['label']}]")) for g, hits in groups.items() for gate, h in zip(criteria[g], hits, strict=True)]
+    missed.append(F.when(tripped, F.lit(BINGO_MESSAGE)))
     missing = F.array_compact(F.array(*missed))
     head = F.format_string(
-        ", ".join(f"{names[g]}=%d/{len(hits)}" for g, hits in groups.items()) + ", bingo_guard=%s, score=%.2f",
+        ", ".join(f"{GATE_NAMES[g]}=%d/{len(hits)}" for g, hits in groups.items()) + ", bingo_guard=%s, score=%.2f",
         *[count[g] for g in groups], tripped.cast("string"), value,
     )
     rationale = F.concat(head, F.when(F.size(missing) > 0, F.concat(F.lit(" | missing: "), F.array_join(missing, "; "))).otherwise(F.lit("")))
@@ -77,17 +77,12 @@ def mechanism(output: Column, criteria: Mapping) -> Column:
 Checker = Callable[[Column, Mapping], Column]
 _checkers: dict[str, Checker] = {
     "exact-match": lambda out, p: exact_match(out, p.get("expected"), p.get("caseInsensitive") is not False),
-    "contains": lambda out, p: contains(out, _terms(p), p.get("smokeTestOnly") is True),
-    "keyword": lambda out, p: keyword(out, _terms(p)),
+    "contains": lambda out, p: contains(out, rubrics.terms(p), p.get("smokeTestOnly") is True),
+    "keyword": lambda out, p: keyword(out, rubrics.terms(p)),
     "non-empty": lambda out, p: non_empty(out, p.get("minChars", 1)),
 }
 
 
-def _terms(params: Mapping) -> list[str]:
-    e = params.get("expected", [])
-    return [e] if isinstance(e, str) else [x for x in e if isinstance(x, str)]
-
-
 def register_checker(name: str, checker: Checker) -> None:
     """Adds a programmatic checker: (output column, params) -> value column."""
     if name in _checkers:
@@ -108,23 +103,31 @@ def apply_rubric(output: Column, rubric: Mapping) -> Column:
     raise ValueError(f"a {rubric['kind']} rubric is scored from its judgements, not from text alone")
 
 
-def score_responses(responses: DataFrame, scenarios: list[Mapping]) -> DataFrame:
-    """runner_id, scenario_id, axis, value, rationale, claim_status: one row for each axis of each response's scenario.
+def score_responses(responses: DataFrame, scenarios: list[Mapping], judge: Callable[[str], Mapping] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, runner_id, scenario_id, axis_ord, axis, value, rationale, claim_status: one row for each axis of each response's scenario.
 
-    Scenarios are plan-time documents: those with one rubric share one expression,
-    and the responses pass once.
+    Scenarios are plan-time documents. Their rubrics travel as data, so the plan is
+    the same for any number of them: each text meets its own scenario's rubric in
+    an Arrow batch. Checkers that were registered as columns are columns of the
+    plan. A response without a scenario has no rows. A rubric that can't be scored
+    raises: an llm-judge without judge, calibration or bias evidence; a human panel.
     """
-    by_rubric: dict[str, tuple[Mapping, list[str]]] = {}
-    for s in scenarios:
-        by_rubric.setdefault(repr(s["rubric"]), (s["rubric"], []))[1].append(s["id"])
-    scored = None
-    for rubric, ids in by_rubric.values():
-        here = F.col("scenario_id").isin(ids)
-        value = apply_rubric(F.col("output"), rubric)
-        scored = F.when(here, value) if scored is None else scored.when(here, value)
-    axes = F.create_map(*[x for s in scenarios for x in (F.lit(s["id"]), F.array(*[F.lit(a) for a in s["axes"]]))])
-    named = responses.withColumn("s", scored).where("s is not null")
-    return named.select("runner_id", "scenario_id", F.posexplode(F.element_at(axes, F.col("scenario_id"))).alias("axis_ord", "axis"), tx.clamp(F.col("s.value")).alias("value"), "s.rationale", "s.claim_status")
+    own = [s for s in scenarios if s["rubric"]["kind"] == "programmatic" and s["rubric"]["checker"] not in rubrics.CHECKERS and s["rubric"]["checker"] in _checkers]
+    plain = {s["id"]: s["rubric"] for s in scenarios if all(s is not o for o in own)}
+    for r in plain.values():
+        rubrics.checked(r, judge)
+
+    @F.pandas_udf("value double, rationale string, claim_status string")
+    def score(ids: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+        none = (None, None, None)
+        return pd.DataFrame([rubrics.score_text(t, plain[i], judge) if i in plain else none for i, t in zip(ids, outputs, strict=True)], columns=["value", "rationale", "claim_status"])
+
+    wanted = responses.join(responses.sparkSession.createDataFrame([(s["id"], list(s["axes"])) for s in scenarios], "scenario_id string, axes array<string>"), "scenario_id")
+    result = score(F.col("scenario_id"), F.col("output"))
+    for s in own:
+        result = F.when(F.col("scenario_id") == s["id"], apply_rubric(F.col("output"), s["rubric"])).otherwise(result)
+    named = wanted.withColumn("s", result)
+    return named.select(*keep, "runner_id", "scenario_id", F.posexplode("axes").alias("axis_ord", "axis"), tx.clamp(F.col("s.value")).alias("value"), "s.rationale", "s.claim_status")
 
 
 def judge_prompt(template: str, response: Column, reference: Column | None = None) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import matching as m
+from ..functions import scanning
 from ..functions import text as tx
-from ..operators import audit, persistence, scoring
+from ..operators import audit, persistence, rubrics, scoring
 from ..sources import tables as t
 from .catalog import query
 from .stats import rounded
@@ -136,7 +136,8 @@ def unnegated_sql(text: str, phrase: str) -> str:
 @query("unnegated_match", f"SELECT doc_id, coalesce({unnegated_sql('output', 'the')}, false) AS the, coalesce({unnegated_sql('output', 'real evidence')}, false) AS evidence FROM ({_OUTPUTS})")
 def unnegated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("output")
-    return outputs(spark, sf_dir).select("doc_id", m.unnegated(o, "the").alias("the"), m.unnegated(o, "real evidence").alias("evidence"))
+    found = outputs(spark, sf_dir).select("doc_id", scanning.hits(o, ["the", "real evidence"]).alias("h"))
+    return found.select("doc_id", F.element_at("h", 1).alias("the"), F.element_at("h", 2).alias("evidence"))
 
 
 @query(
@@ -177,16 +178,38 @@ def mechanism_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outputs(spark, sf_dir).select("doc_id", scoring.mechanism(F.col("output"), criteria).alias("s")).select("doc_id", "s.value", "s.passed", "s.bingo_guard_tripped"), "value")
 
 
-@query("score_responses")
+def _missing(*cases: tuple[str, str]) -> str:
+    return f"array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {name!r} END' for c, name in cases)}], lambda x: x IS NOT NULL), '{{sep}}')"
+
+
+_MECHANISM_MISSING = _missing(("NOT q1", "quant[rate]"), ("NOT q2", "quant[evidence]"), ("NOT d1", "disambig[that]"), ("NOT a1", "action[accept]"), ("NOT a2", "action[with]"), ("bingo AND NOT q1 AND NOT q2 AND NOT d1", rubrics.BINGO_MESSAGE)).format(sep="; ")
+_KEYWORD_MISSING = _missing(("NOT k1", "the"), ("NOT k2", "real evidence")).format(sep=", ")
+
+
+@query(
+    "score_responses",
+    f"""WITH h AS MATERIALIZED (SELECT doc_id, output, coalesce({unnegated_sql('output', 'the')}, false) AS k1, coalesce({unnegated_sql('output', 'real evidence')}, false) AS k2, coalesce({unnegated_sql('output', 'reason holds')}, false) AS k3,
+      coalesce({unnegated_sql('output', 'that it')}, false) OR coalesce({unnegated_sql('output', 'this is')}, false) AS d1, coalesce({unnegated_sql('output', 'accept the')}, false) AS a1, coalesce({unnegated_sql('output', 'with the')}, false) AS a2,
+      regexp_matches(output, '(?i)\\b(?:the|la)\\b') AS bingo, CAST(regexp_extract(output, '(\\d{{3,}})') <> '' AS BOOLEAN) AS q1 FROM ({_OUTPUTS})),
+    g AS (SELECT *, k2 OR k3 AS q2 FROM h),
+    v AS (SELECT *, CASE WHEN q1 OR q2 OR d1 THEN 0.45 * (CAST(q1 AS INT) + CAST(q2 AS INT)) / 2 + 0.35 * CAST(d1 AS INT) + 0.2 * (CAST(a1 AS INT) + CAST(a2 AS INT)) / 2 WHEN bingo THEN 0.2 ELSE 0.0 END::DOUBLE AS mv, bingo AND NOT q1 AND NOT q2 AND NOT d1 AS tripped FROM g),
+    s AS (SELECT doc_id, concat('r', doc_id % 2) AS runner_id, concat('s', doc_id % 3) AS scenario_id,
+      CASE doc_id % 3 WHEN 0 THEN 1 - (CASE WHEN k1 THEN 0 ELSE 1 END + CASE WHEN k2 THEN 0 ELSE 1 END) / 2 WHEN 1 THEN least(0.2, 1 - (CASE WHEN contains(lower(output), 'the') THEN 0 ELSE 1 END + CASE WHEN contains(lower(output), 'zzz') THEN 0 ELSE 1 END) / 2) ELSE mv END AS value,
+      CASE doc_id % 3 WHEN 0 THEN CASE WHEN k1 AND k2 THEN 'all terms present (un-negated)' ELSE concat('missing or negated: ', {_KEYWORD_MISSING}) END
+        WHEN 1 THEN concat('missing: ', CASE WHEN contains(lower(output), 'the') THEN '' ELSE 'the, ' END, 'zzz [contains capped at 0.2; use keyword/mechanism for benchmark scoring]')
+        ELSE concat('quant=', CAST(q1 AS INT) + CAST(q2 AS INT), '/2, disambig=', CAST(d1 AS INT), '/1, action=', CAST(a1 AS INT) + CAST(a2 AS INT), '/2, bingo_guard=', tripped, ', score=', printf('%.2f', mv + 1e-9), CASE WHEN q1 AND q2 AND d1 AND a1 AND a2 THEN '' ELSE concat(' | missing: ', {_MECHANISM_MISSING}) END) END AS rationale FROM v),
+    x AS (SELECT *, unnest(CASE scenario_id WHEN 's0' THEN [0, 1] ELSE [0] END) AS axis_ord FROM s)
+    SELECT doc_id, runner_id, scenario_id, CAST(axis_ord AS INT) AS axis_ord, CASE WHEN scenario_id = 's2' OR axis_ord = 1 THEN 'care' ELSE 'recall' END AS axis, round(value, 9)::DOUBLE AS value, rationale, 'programmatic' AS claim_status FROM x""",
+)
 def score_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rubrics of several kinds over documents as responses, fanned out over axes."""
     scenarios = [
         {"id": "s0", "axes": ["recall", "care"], "rubric": {"kind": "programmatic", "checker": "keyword", "params": {"expected": ["the", "real evidence"]}}},
-        {"id": "s1", "axes": ["recall"], "rubric": {"kind": "programmatic", "checker": "contains", "params": {"expected": "the"}}},
+        {"id": "s1", "axes": ["recall"], "rubric": {"kind": "programmatic", "checker": "contains", "params": {"expected": ["the", "zzz"]}}},
         {"id": "s2", "axes": ["care"], "rubric": {"kind": "mechanism", **CRITERIA}},
     ]
-    responses = outputs(spark, sf_dir).select(F.concat(F.lit("r"), (F.col("doc_id") % 2).cast("string")).alias("runner_id"), F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("scenario_id"), "output")
-    return scoring.score_responses(responses, scenarios)
+    responses = outputs(spark, sf_dir).select("doc_id", F.concat(F.lit("r"), (F.col("doc_id") % 2).cast("string")).alias("runner_id"), F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("scenario_id"), "output")
+    return rounded(scoring.score_responses(responses, scenarios, keep=["doc_id"]), "value")
 
 
 PERSISTENCE = [

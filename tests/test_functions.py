@@ -7,8 +7,9 @@ import math
 import numpy as np
 import pytest
 from evalweave.functions import matching as m
+from evalweave.functions import scanning
 from evalweave.functions import text as tx
-from evalweave.operators import bootstrap, compare, environment, gates, identity, scoring
+from evalweave.operators import bootstrap, compare, environment, gates, identity, rubrics, scoring
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,6 +28,56 @@ def test_unnegated(spark):
         assert got is want, (text, phrase)
 
 
+def test_both_matchers_agree(spark):
+    """The Arrow scan and the JVM expression, on the same texts."""
+    phrases = ["flag", "a_b", "single 24", "/single\\s+\\d+/", "/^no\\b/", "/[\\w.]+$/", "é"]
+    parts = ["flag", "Flag", "keeper", "not", "do", "don't", "never", "no", "only", "but", ".", "instead of", "rather than", "é", "24", "single", "—", "\n", "a_b", "evidence"]
+    rng = np.random.default_rng(5)
+    texts = [rng.choice([" ", "  ", "\t", "-"]).join(rng.choice(parts, rng.integers(0, 15))) for _ in range(1500)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for r in df.select("t", *[m.unnegated(F.col("t"), p) for p in phrases], *[m.present(F.col("t"), p) for p in phrases]).collect():
+        assert [scanning.unnegated(r[0], p) for p in phrases] + [scanning.present(r[0], p) for p in phrases] == list(r[1:]), r[0]
+
+
+def test_scanning_cases(spark):
+    for text, phrase, want in MATCHES:
+        got = spark.createDataFrame([(text,)], "t string").select(scanning.hits(F.col("t"), [phrase])).first()[0]
+        assert got == [want], (text, phrase)
+
+
+def test_rubrics():
+    """Lists of terms only, rationales, and what can't be scored."""
+    rubric = {"kind": "programmatic", "checker": "contains", "params": {"expected": "the"}}
+    assert rubrics.score_text("nothing here", rubric) == (0.2, "all terms present [contains capped at 0.2; use keyword/mechanism for benchmark scoring]", "programmatic")
+    assert rubrics.score_text("x", rubric | {"checker": "keyword"})[:2] == (1.0, "no terms required")
+    assert rubrics.score_text("do not flag. it", rubric | {"checker": "keyword", "params": {"expected": ["flag", "it"]}})[:2] == (0.5, "missing or negated: flag")
+    assert rubrics.score_text(" A ", rubric | {"checker": "exact-match", "params": {"expected": "a"}})[:2] == (1.0, "exact-match")
+    assert rubrics.score_text("😀", rubric | {"checker": "non-empty", "params": {"minChars": 3}})[:2] == (0.0, "length=2, min=3")
+    assert rubrics.score_text(None, rubric | {"checker": "non-empty", "params": {}})[0] == 0.0
+    for bad in ({"kind": "human"}, {"kind": "llm-judge"}, {"kind": "programmatic", "checker": "none"}):
+        with pytest.raises(ValueError):
+            rubrics.checked(bad)
+
+
+def test_judged_rubrics(spark):
+    provenance = {"promptHash": "h", "provider": "p", "model": "m", "rubricVersion": "1", "parserVersion": "1", "judgedAt": "2026-01-02T03:04:05Z"}
+    rubric = {"kind": "llm-judge", "judge": "j", "prompt": "{response} against {reference}", "reference": "ref", "claimPolicy": "benchmark-eligible",
+              "calibration": {"observedAgreement": 0.9, "minimumAgreement": 0.8, "promptHash": "h"}, "biasChecks": [{"kind": "order", "passed": True}]}
+    scenario = {"id": "s", "axes": ["x", "y"], "rubric": rubric}
+    responses = spark.createDataFrame([("r", "s", "hello"), ("r", "other", "hello"), ("r", "s", None)], "runner_id string, scenario_id string, output string")
+    judge = lambda prompt: {"value": 2.0 if prompt.startswith("hello") else 0.25, "rationale": prompt, "provenance": provenance}
+    rows = scoring.score_responses(responses, [scenario], judge).collect()
+    assert sorted((r["axis"], r["value"], r["rationale"], r["claim_status"]) for r in rows) == sorted((a, v, w, "benchmark-eligible") for a in "xy" for v, w in ((1.0, "hello against ref"), (0.25, " against ref")))
+    for change in ({"calibration": None}, {"calibration": rubric["calibration"] | {"observedAgreement": 0.5}}, {"biasChecks": []}, {"biasChecks": [{"kind": "order", "passed": False}]}):
+        with pytest.raises(rubrics.JudgeRefused):
+            scoring.score_responses(responses, [scenario | {"rubric": rubric | change}], judge)
+    for change in ({"promptHash": "other"}, {"model": ""}, {"judgedAt": "yesterday"}):
+        with pytest.raises(rubrics.JudgeRefused):
+            rubrics.judged("x", rubric, lambda _, c=change: {"value": 1, "provenance": provenance | c})
+    with pytest.raises(ValueError, match="judge"):
+        scoring.score_responses(responses, [scenario])
+
+
 def test_unsupported_flags():
     with pytest.raises(ValueError, match="flags"):
         m.pattern("/a/y")
