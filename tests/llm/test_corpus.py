@@ -84,6 +84,23 @@ def test_repeats_by_brute_force(spark, seed):
     assert all(r["n_occurrences"] == len(r["doc_ids"]) for r in got)
 
 
+def test_repeats_in_many_chunks(spark):
+    """Copies, also with other white space, rows that repeat, ids that are texts or null, in chunks of a few texts: all the same."""
+    rng = random.Random(9)
+    pool = [[f"p{k}{i}" for i in range(rng.randint(8, 30))] for k in range(4)]
+    docs = []
+    for d in range(60):
+        w = [x for _ in range(rng.randint(1, 3)) for x in [f"u{d}"] * rng.randint(0, 2) + rng.choice(pool)[rng.randint(0, 3) :]]
+        docs.append((f"d{d}", " ".join(w)))
+    docs += [(f"c{k}", docs[3][1].replace(" ", "\n")) for k in range(5)] + [docs[3], docs[3], (None, docs[4][1]), (None, docs[4][1]), ("short", "a b"), ("none", None)]
+    alone = [f"alone{i}" for i in range(12)]
+    docs += [("x1", " ".join(alone)), ("x2", "  ".join(alone)), ("x1", " ".join(alone))]
+    got = suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id string, text string"), 6, chunk_bytes=700).collect()
+    named = {(r["n_words"], tuple(sorted((str(d), i) for d, i in zip(r["doc_ids"], r["word_at"], strict=True)))) for r in got}
+    assert named == _maximal({(str(d), " ".join((t or "").split())) for d, t in docs}, 6)
+    assert len(got) == len(named) and any(r["n_words"] == 12 and sorted(r["doc_ids"]) == ["x1", "x2"] for r in got)
+
+
 def _periodic(words, least):
     return any(all(a == b for a, b in zip(words, words[p:], strict=False)) for p in range(1, least))
 
