@@ -30,13 +30,16 @@ def test_unnegated(spark):
 
 def test_both_matchers_agree(spark):
     """The Arrow scan and the JVM expression, on the same texts."""
-    phrases = ["flag", "a_b", "single 24", "/single\\s+\\d+/", "/^no\\b/", "/[\\w.]+$/", "é"]
-    parts = ["flag", "Flag", "keeper", "not", "do", "don't", "never", "no", "only", "but", ".", "instead of", "rather than", "é", "24", "single", "—", "\n", "a_b", "evidence"]
+    phrases = ["flag", "a_b", "single 24", "/single\\s+\\d+/", "/^no\\b/", "/[\\w.]+$/", "é", "instead of", "-", "Single", "\n"]
+    parts = ["flag", "Flag", "keeper", "not", "do", "don't", "never", "no", "only", "but", ".", "instead of", "rather than", "é", "24", "single", "—", "\n", "a_b", "evidence", "ſingle", "İ", "É"]
     rng = np.random.default_rng(5)
     texts = [rng.choice([" ", "  ", "\t", "-"]).join(rng.choice(parts, rng.integers(0, 15))) for _ in range(1500)]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
     for r in df.select("t", *[m.unnegated(F.col("t"), p) for p in phrases], *[m.present(F.col("t"), p) for p in phrases]).collect():
-        assert [scanning.unnegated(r[0], p) for p in phrases] + [scanning.present(r[0], p) for p in phrases] == list(r[1:]), r[0]
+        # What a case-blind class holds beyond ASCII differs between the engines, for letters that no phrase has.
+        some = [i for i, p in enumerate(phrases) if p[0] != "/" or not set("ſİ") & set(r[0])]
+        got = [scanning.unnegated(r[0], p) for p in phrases] + [scanning.present(r[0], p) for p in phrases]
+        assert all(got[i + k] == r[1 + i + k] for i in some for k in (0, len(phrases))), r[0]
 
 
 def test_scanning_cases(spark):
