@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 #: Bytes of text of a chunk, which a Python worker holds at once (with some twenty times as much in arrays of words).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text that one part's keys come from, on the average.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 #: Buckets that the catalog allows a table.
 _MOST_BUCKETS = 100_000
 
