@@ -13,7 +13,7 @@ that of any version; the BSD body is told apart by its further clauses.
 Cases: null, empty and plain texts have no findings: restriction ``none``,
 allowed; a broken expression is kept as found, restriction ``unknown`` and not
 allowed; identifiers that aren't known are ``unknown``; findings that repeat
-count once; whole texts are scanned; an empty table gives an empty result;
+count once; whole texts are scanned, and expressions of any length and depth read; an empty table gives an empty result;
 further columns are not read.
 """
 
@@ -33,12 +33,14 @@ RANKS = ["none", "public-domain", "permissive", "weak-copyleft", "copyleft", "ne
 ALLOWED = {"none", "public-domain", "permissive", "weak-copyleft"}
 
 KINDS = {
-    "public-domain": "CC0-1.0 Unlicense 0BSD WTFPL PDDL-1.0",
-    "permissive": "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PostgreSQL Python-2.0 PSF-2.0 X11 NCSA HPND CC-BY-3.0 CC-BY-4.0 Artistic-2.0 ODC-By-1.0 BlueOak-1.0.0 UPL-1.0",
-    "weak-copyleft": "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 MS-RL",
-    "copyleft": "GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.1 EUPL-1.2 ODbL-1.0 GFDL-1.3-only GFDL-1.3-or-later OSL-3.0",
-    "network-copyleft": "AGPL-3.0-only AGPL-3.0-or-later SSPL-1.0",
-    "noncommercial": "CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 PolyForm-Noncommercial-1.0.0",
+    "public-domain": "CC0-1.0 Unlicense 0BSD WTFPL PDDL-1.0 CC-PDDC SAX-PD blessing libpng-2.0-PD LicenseRef-Public-Domain",
+    "permissive": "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PostgreSQL Python-2.0 PSF-2.0 X11 NCSA HPND CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 Artistic-1.0 Artistic-2.0 ODC-By-1.0 BlueOak-1.0.0 UPL-1.0 "
+    "AFL-2.1 AFL-3.0 Apache-1.0 BSD-1-Clause BSD-2-Clause-Patent BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-Source-Code bzip2-1.0.6 CNRI-Python curl ECL-2.0 EFL-2.0 FSFAP FTL GD ICU IJG ImageMagick Info-ZIP JSON libpng-2.0 Libpng libtiff "
+    "MIT-CMU MIT-Modern-Variant MITNFA MulanPSL-2.0 Naumen NTP OLDAP-2.8 OpenSSL PHP-3.0 PHP-3.01 Ruby SMLNJ SSH-OpenSSH SunPro TCL TCP-wrappers Unicode-3.0 Unicode-DFS-2015 Unicode-DFS-2016 Vim W3C W3C-20150513 Xnet XFree86-1.1 Zend-2.0 ZPL-2.0 ZPL-2.1 zlib-acknowledgement FSFUL FSFULLR Beerware HPND-sell-variant Spencer-94 TU-Berlin-1.0 OFL-1.0 OFL-1.1",
+    "weak-copyleft": "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 MS-RL MS-PL APSL-2.0 CPL-1.0 IPL-1.0 CECILL-C NPL-1.1 SPL-1.0 LPPL-1.3c ErlPL-1.1 Nokia CPAL-1.0 RPSL-1.0 SISSL",
+    "copyleft": "CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CECILL-2.0 CECILL-2.1 EUPL-1.0 GFDL-1.1-only GFDL-1.1-or-later GFDL-1.2-only GFDL-1.2-or-later OSL-1.0 OSL-2.0 OSL-2.1 QPL-1.0 Sleepycat CC-SA-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.1 EUPL-1.2 ODbL-1.0 GFDL-1.3-only GFDL-1.3-or-later OSL-3.0",
+    "network-copyleft": "AGPL-1.0-only AGPL-1.0-or-later RPL-1.1 RPL-1.5 CPOL-1.02 AGPL-3.0-only AGPL-3.0-or-later SSPL-1.0",
+    "noncommercial": "CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-NC-ND-2.5 CC-BY-NC-ND-3.0 CC-BY-ND-3.0 PolyForm-Small-Business-1.0.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 PolyForm-Noncommercial-1.0.0",
     "proprietary": "LicenseRef-Proprietary BUSL-1.1",
 }
 KIND_OF = {x.lower(): kind for kind, names in KINDS.items() for x in names.split()}
@@ -120,28 +122,50 @@ class Node:
         self.op, self.name, self.left, self.right = op, name, left, right
 
     def __str__(self) -> str:
-        if self.op is None:
-            return self.name
-        sides = []
-        for side in (self.left, self.right):
-            inner = str(side)
-            sides.append(f"({inner})" if side.op and _OPERATORS[side.op] < _OPERATORS[self.op] else inner)
-        return f"{sides[0]} {self.op} {sides[1]}"
+        out: list[str] = []
+        work: list[Node | str] = [self]
+        while work:
+            x = work.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x.op is None:
+                out.append(x.name)
+            else:
+                for k, side in enumerate((x.right, x.left)):
+                    work += [")", side, "("] if side.op and _OPERATORS[side.op] < _OPERATORS[x.op] else [side]
+                    if not k:
+                        work.append(f" {x.op} ")
+        return "".join(out)
 
     def names(self) -> list[str]:
-        if self.op is None:
-            return [self.name]
-        return self.left.names() if self.op == "WITH" else self.left.names() + self.right.names()
+        """The licences named, from left to right; exceptions aren't licences."""
+        out: list[str] = []
+        work = [self]
+        while work:
+            x = work.pop()
+            if x.op is None:
+                out.append(x.name)
+            else:
+                work += [x.left] if x.op == "WITH" else [x.right, x.left]
+        return out
 
     def kind(self) -> str:
         """The restriction that the expression amounts to."""
-        if self.op is None:
-            return _kind(self.name)
-        if self.op == "WITH":
-            base = self.left.kind()
-            return "weak-copyleft" if base == "copyleft" and self.right.name.lower() in LINKING else base
-        pick = min if self.op == "OR" else max
-        return RANKS[pick(RANKS.index(self.left.kind()), RANKS.index(self.right.kind()))]
+        done: list[int] = []
+        work: list[tuple[Node, bool]] = [(self, False)]
+        while work:
+            x, known = work.pop()
+            if x.op is None:
+                done.append(RANKS.index(_kind(x.name)))
+            elif not known:
+                work += [(x, True), (x.left, False)] + ([(x.right, False)] if x.op != "WITH" else [])
+            elif x.op == "WITH":
+                if RANKS[done[-1]] == "copyleft" and x.right.op is None and x.right.name.lower() in LINKING:
+                    done[-1] = RANKS.index("weak-copyleft")
+            else:
+                one, other = done.pop(), done.pop()
+                done.append((min if x.op == "OR" else max)(one, other))
+        return RANKS[done[0]]
 
 
 def _canonical(name: str) -> str:
