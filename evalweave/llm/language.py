@@ -13,8 +13,9 @@ all their bytes.
 Cases: a null, empty or blank text has no n-grams: its language is null, it is
 ambiguous and rejected. Without any labelled row nothing can be identified and
 nothing is rejected. With one language every text that has n-grams gets it. An
-empty table gives an empty result. Rows that repeat are scored alike. Further
-columns pass through ``keep_identified`` whatever their names.
+empty table gives an empty result. Rows that repeat are scored alike, and a null
+or repeated doc_id is a document as any other: the sample goes by the hash of
+doc_id and text together. Further columns pass through ``keep_identified`` whatever their names.
 """
 
 from __future__ import annotations
@@ -159,10 +160,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     if not sizes:
         return None
     # Of each language, about twice the rows wanted pass by hash before they are ranked.
-    key = F.xxhash64(F.lit("lid"), "doc_id")
+    key = F.xxhash64(F.lit("lid"), "doc_id", "text")
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, (2 * sample_rows + 50) / n))) for x, n in sizes.items()])
     some = labelled.withColumn("key", key).where((F.pmod("key", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text")))).where(F.col("rank") <= sample_rows)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64(F.lit("tie"), "text")))).where(F.col("rank") <= sample_rows)
     rows = sorted(ranked.select("lang", "rank", "text").collect(), key=lambda r: (r["lang"], r["rank"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 

@@ -6,7 +6,9 @@ maximum-likelihood estimates of orders ORDER to 1 and a uniform one. How much
 an order counts depends on how often its context was seen (one weight for each
 power of two); the weights are learned by expectation-maximisation on held-out
 counts: a hashed share of the documents, whose own counts are deleted from the
-estimates that predict them. The scores then use the counts of all documents.
+estimates that predict them. The scores then use the counts of all documents, a
+document's own among them: they tell how usual its wording is in this corpus, so
+a text all of whose word runs are its own is as likely as one can be.
 
 The word model works on chunks of documents (see exchange): a chunk's distinct
 words get numbers and counts, then its distinct pairs and triples of numbers get

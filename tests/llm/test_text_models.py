@@ -126,6 +126,66 @@ def test_word_model_by_brute_force(spark, docs, odd, empty):
     assert language_model.score_words(empty).count() == 0
 
 
+def test_learned_word_model_by_hand(spark, docs):
+    """Held-out counts deleted, weights by expectation-maximisation, scores with them: all in plain Python."""
+    few = docs.where("doc_id < 60").select("doc_id", "text")
+    held = {r["doc_id"] for r in few.where(language_model._held()).collect()}
+    assert held
+    texts = {r["doc_id"]: ["", "", *r["text"].encode().split()] for r in few.collect()}
+    n: collections.Counter = collections.Counter()
+    kept: collections.Counter = collections.Counter()
+    for d, w in texts.items():
+        for i in range(2, len(w)):
+            for k in (1, 2, 3):
+                for c in (n, kept) if d not in held else (n,):
+                    c[tuple(w[i - k + 1 : i + 1])] += 1
+                    c["before", tuple(w[i - k + 1 : i])] += 1
+    base = 1 / len({x for w in texts.values() for x in w[2:]})
+
+    def terms(w, i, c):
+        out = []
+        for k in (3, 2, 1):
+            before = c["before", tuple(w[i - k + 1 : i])]
+            out.append((c[tuple(w[i - k + 1 : i + 1])] / before if before else 0.0, int(math.log2(before)) if before else -1))
+        return out
+
+    events = [terms(texts[d], i, kept) for d in held for i in range(2, len(texts[d]))]
+    weights = np.full((3, language_model.BUCKETS), 0.5)
+
+    def mixed(e):
+        p, left, parts = 0.0, 1.0, []
+        for k, (q, b) in enumerate(e):
+            w = weights[k, b] if b >= 0 else 0.0
+            parts.append(left * w * q)
+            left *= 1 - w
+        p = sum(parts) + left * base
+        return p, parts
+
+    for _ in range(language_model.ROUNDS):
+        num, den = np.zeros_like(weights), np.zeros_like(weights)
+        for e in events:
+            p, parts = mixed(e)
+            reach = 1.0
+            for k, (_, b) in enumerate(e):
+                if b >= 0:
+                    num[k, b] += parts[k] / p
+                    den[k, b] += reach
+                reach -= parts[k] / p
+        new = np.where(den > 0, np.minimum(num / np.where(den > 0, den, 1), 1 - 1e-6), weights)
+        change, weights = np.abs(new - weights).max(), new
+        if change < language_model.TOLERANCE:
+            break
+    for r in language_model.score_words(few, 30_000).collect():
+        w = texts[r["doc_id"]]
+        assert r["log_prob"] == pytest.approx(sum(math.log(mixed(terms(w, i, n))[0]) for i in range(2, len(w))), rel=1e-4)
+
+
+def test_null_ids_spread(spark):
+    """Documents without an id are held out one by one, not all or none."""
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    assert 5 < df.where(language_model._held()).count() < 60
+
+
 def test_lm_odd(odd, empty):
     out = language_model.score(odd).collect()
     assert len(out) == odd.count()
@@ -204,6 +264,57 @@ def test_language_accuracy(spark):
     assert (gap < model.least_gap).mean() < 0.02
 
 
+def test_language_by_brute_force(docs):
+    """Counts, weights and decoding byte by byte in plain Python."""
+    rows = [(r["text"], r["lang"]) for r in docs.where("length(text) between 20 and 400").orderBy("doc_id").limit(60).collect()]
+    model = language.fit([t for t, _ in rows], [x for _, x in rows])
+    mask, space = (1 << 64) - 1, set(b" \t\n\x0b\x0c\r")
+
+    def buckets(text):
+        x = [32 if c in space else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in text.encode()]
+        for i, first in enumerate(x):
+            code = 0
+            for k in range(4):
+                if i + k < len(x):
+                    code = ((code ^ x[i + k]) * int(language._STEP[k])) & mask
+                    code ^= code >> 29
+                    if first != 32:
+                        yield ((code * 0x9E3779B97F4A7C15 + k + 1) & mask) >> (64 - language.BITS)
+
+    seen: collections.Counter = collections.Counter()
+    counts = {x: collections.Counter() for x in model.languages}
+    for t, x in rows:
+        seen[x] += 1
+        if seen[x] % 4:
+            counts[x].update(buckets(t))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    scale = sum(total.values()) / len(total)
+
+    def weight(bucket, bit):
+        side = {s: [counts[x][bucket] / total[x] for i, x in enumerate(model.languages) if model.code[i, bit] == s] for s in (1, -1)}
+        plus, minus = (sum(v) / len(v) + 0.5 / scale for v in (side[1], side[-1]))
+        return math.log(plus / minus)
+
+    texts = [t for t, _ in rows][:12]
+    best, loss, gap, count = model.decode(pa.array(texts))
+    for k, t in enumerate(texts):
+        b = list(buckets(t))
+        margin = [sum(weight(x, bit) for x in b) / len(b) for bit in range(model.code.shape[1])]
+        losses = sorted((float(np.mean([math.log1p(math.exp(-4 * m * c)) for m, c in zip(margin, code, strict=True)])), i) for i, code in enumerate(model.code))
+        assert count[k] == len(b) and best[k] == losses[0][1]
+        assert loss[k] == pytest.approx(losses[0][0], rel=1e-4) and gap[k] == pytest.approx(losses[1][0] - losses[0][0], rel=1e-3, abs=1e-6)
+
+
+def test_languages_without_ids(spark):
+    """Null and repeated ids: the sample spreads over the rows, and languages are told."""
+    words = {"en": "the of and with this that from have".split(), "de": "der und nicht mit dass eine wird sein".split()}
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 2 else 7, " ".join(rng.choice(words[x], 12)), x, "s", 1) for i in range(1500) for x in words]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = language.identify(df)
+    assert out.where("identified = lang").count() > 0.98 * len(rows)
+
+
 def test_language_odd(spark, odd, empty):
     out = language.identify(odd)
     by = {r["doc_id"]: r for r in out.collect()}
@@ -233,6 +344,15 @@ def test_expressions(text, tree, kind):
     assert str(node) == tree and node.kind() == kind
 
 
+def test_long_expressions():
+    for text, names, kind in (
+        (" OR ".join(["GPL-3.0-only"] * 49_999 + ["MIT"]), 50_000, "permissive"), ("(" * 50_000 + "MIT" + ")" * 50_000, 1, "permissive"), ("MIT AND (" * 20_000 + "GPL-3.0-only" + ")" * 20_000, 20_001, "copyleft"), ("(" * 30_000 + "MIT", 0, "unknown"),
+    ):
+        node, _ = licences.parse(text)
+        assert node is None if not names else len(node.names()) == names and node.kind() == kind and str(node)
+        assert licences.scan(f"SPDX-License-Identifier: {text}", licences.automaton())[2] == kind
+
+
 @pytest.mark.parametrize("text", ["", "MIT AND", "(MIT", "AND MIT", "()", "MIT OR OR MIT"])
 def test_broken_expressions(text):
     assert licences.parse(text)[0] is None
