@@ -3,7 +3,8 @@
 Pages of a host are made by a few templates. A page is read as a stream of tags
 and text slots, and folded: runs of one group become a repeated group. For each
 host the distinct folded streams are aligned one after the other into a wrapper,
-a union-free regular expression: what only one side has becomes optional,
+a union-free regular expression: what only one side has becomes optional (neighbours
+that pages have all or none of, together),
 repeated groups absorb single instances, and texts become slots. A slot whose
 text is one and the same on all of the host's pages is part of the template, if
 those are two different pages at least (copies of one page don't tell data from
@@ -19,7 +20,7 @@ Cases: a null or empty page, or one without tags, has no wrapper fields but
 keeps its plain text as content; a page whose url has no host belongs to host ''
 and is aligned with its like; a host with one page, or with copies of one page,
 has a wrapper in which every slot is data; broken markup is read as it comes (ends that may be left out are put in, other unclosed and stray tags are tokens
-as any others); pages of any length are read whole; rows that repeat
+as any others); pages of any length are read whole, elements nested to any depth; rows that repeat
 are extracted each; an empty table gives an empty result; further columns are
 not read.
 """
@@ -30,7 +31,7 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -139,7 +140,7 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
         close()
         if slash:
             if name in open_:
-                if linked > len(open_) - 1 - open_[::-1].index(name):
+                if linked >= 0 and linked > len(open_) - 1 - open_[::-1].index(name):
                     linked, told = -1, False  # an element that ends ends the link in it
                 while open_[-1] != name:
                     if (inner := open_.pop()) in IMPLIED:
@@ -167,22 +168,41 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
 Nodes = list
 
 
+class _Shapes:
+    """Numbers of the shapes of a page's units: equal numbers, equal shapes, however large they are."""
+
+    def __init__(self) -> None:
+        self.number: dict[object, int] = {}
+        #: Whether a shape begins with something other than a text or an end tag.
+        self.opens: list[bool] = []
+
+    def of(self, shape: object, opens: bool) -> int:
+        k = self.number.setdefault(shape, len(self.opens))
+        if k == len(self.opens):
+            self.opens.append(opens)
+        return k
+
+    def token(self, t: str) -> int:
+        return self.of(t, t != "#" and t[:2] != "</")
+
+
 def fold(kinds: list[str]) -> tuple[Nodes, list[int]]:
     """Runs of equal neighbouring groups as repeated groups, innermost first; and for each text of the page its slot among the folded nodes'."""
     # A unit is (kind, body, shape): a token with its texts, an element 'E' with its units, or a repeated group '+'.
     n = 0
+    shapes = _Shapes()
     stack: list[tuple[str, list]] = [("", [])]
     depth: dict[str, int] = {}
     for t in kinds:
         if t == "#":
-            stack[-1][1].append((t, [n], t))
+            stack[-1][1].append((t, [n], shapes.token(t)))
             n += 1
         elif t[1] != "/":
             name = t[1:-1].partition(".")[0]
             if name in VOID:
-                stack[-1][1].append((t, (), t))
+                stack[-1][1].append((t, (), shapes.token(t)))
             else:
-                stack.append((name, [(t, (), t)]))
+                stack.append((name, [(t, (), shapes.token(t))]))
                 depth[name] = depth.get(name, 0) + 1
         elif depth.get(name := t[2:-1], 0):
             # Elements that are closed become one unit, with their own children folded before them.
@@ -192,51 +212,62 @@ def fold(kinds: list[str]) -> tuple[Nodes, list[int]]:
                 stack[-1][1].extend(inner)
             _, inner = stack.pop()
             depth[name] -= 1
-            body = [inner[0], *_fold_run(inner[1:]), (t, (), t)]
-            stack[-1][1].append(("E", body, "".join([u[2] for u in body])))
+            body = [inner[0], *_fold_run(inner[1:], shapes), (t, (), shapes.token(t))]
+            stack[-1][1].append(("E", body, shapes.of(("E", *[u[2] for u in body]), True)))
         else:
-            stack[-1][1].append((t, (), t))
+            stack[-1][1].append((t, (), shapes.token(t)))
     while len(stack) > 1:
         _, inner = stack.pop()
         stack[-1][1].extend(inner)
-    folded = _fold_run(stack[0][1])
+    return _emitted(_fold_run(stack[0][1], shapes), n)
+
+
+def _emitted(folded: list[tuple], n: int) -> tuple[Nodes, list[int]]:
+    """The units as nodes, and the slot of each of the page's n texts; all instances of a repeated group share slots."""
     slot_of = [0] * n
     slots = 0
-
-    def emit(units: list) -> Nodes:
-        nonlocal slots
-        nodes: Nodes = []
-        for kind, body, _ in units:
-            if kind == "E":
-                nodes.extend(emit(body))
-            elif kind == "+":
-                first = slots
-                nodes.append(["+", emit(body[0])])
-                last = slots
-                for other in body[1:]:
-                    slots = first
-                    emit(other)
-                    last = max(last, slots)
-                slots = last
+    out: Nodes = []
+    # Work to go on with: units that are being written to nodes, and groups whose instances are gone through one by one.
+    work: list[list] = [["units", iter(folded), out]]
+    while work:
+        job = work[-1]
+        if job[0] == "group":
+            _, body, k, first, last = job
+            last = max(last, slots)
+            if k < len(body):
+                job[2:] = [k + 1, first, last]
+                slots = first
+                work.append(["units", iter(body[k]), []])
             else:
-                nodes.append(kind)
-                if kind == "#":
-                    for t in body:
-                        slot_of[t] = slots
-                    slots += 1
-        return nodes
-
-    return emit(folded), slot_of
+                slots = last
+                work.pop()
+            continue
+        for kind, body, _ in job[1]:
+            if kind == "E":
+                work.append(["units", iter(body), job[2]])
+                break
+            if kind == "+":
+                inner: Nodes = []
+                job[2].append(["+", inner])
+                work += [["group", body, 1, slots, slots], ["units", iter(body[0]), inner]]
+                break
+            job[2].append(kind)
+            if kind == "#":
+                for t in body:
+                    slot_of[t] = slots
+                slots += 1
+        else:
+            work.pop()
+    return out, slot_of
 
 
-def _fold_run(units: list[tuple]) -> list[tuple]:
+def _fold_run(units: list[tuple], shapes: _Shapes) -> list[tuple]:
     """Neighbouring groups of units that repeat, as one repeated group; groups of any width, narrow ones first."""
     width, ids = 1, None
     while 2 * width <= len(units):
         if ids is None:
-            number: dict[str, int] = {}
-            ids = [number.setdefault(u[2], len(number)) for u in units]
-            if len(number) == len(units) or not any(_opens(u[2]) for u in units):
+            ids = [u[2] for u in units]
+            if len(set(ids)) == len(units) or not any(shapes.opens[k] for k in ids):
                 return units
         # Two neighbouring groups hold a multiple of the width and the place one width after it: most widths end here.
         if not any(map(int.__eq__, ids[::width], ids[width::width])):
@@ -248,11 +279,11 @@ def _fold_run(units: list[tuple]) -> list[tuple]:
         done = 0
         for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             first = max(first, done)
-            if last - first < width or (width == 1 and units[first][0] == "+") or not any(_opens(u[2]) for u in units[first : first + width]):
+            if last - first < width or (width == 1 and units[first][0] == "+") or not any(shapes.opens[k] for k in ids[first : first + width]):
                 continue
             end = first + (last - first) // width * width + width
             out += units[done:first]
-            out.append(("+", [units[k : k + width] for k in range(first, end, width)], "(" + "".join([u[2] for u in units[first : first + width]]) + ")+"))
+            out.append(("+", [units[k : k + width] for k in range(first, end, width)], shapes.of(("+", *ids[first : first + width]), True)))
             done = end
         if out:
             units, ids = out + units[done:], None
@@ -260,12 +291,96 @@ def _fold_run(units: list[tuple]) -> list[tuple]:
     return units
 
 
-def _opens(shape: str) -> bool:
-    return shape != "#" and shape[:2] != "</"
+def _events(nodes: Nodes) -> Iterator[object]:
+    """The nodes in order, groups as '(', their nodes, and ')+' or ')?'."""
+    work: list[tuple[Iterator, str]] = [(iter(nodes), "")]
+    while work:
+        for x in work[-1][0]:
+            if isinstance(x, list):
+                yield "("
+                work.append((iter(x[1]), f"){x[0]}"))
+                break
+            yield x
+        else:
+            if mark := work.pop()[1]:
+                yield mark
+
+
+def _nested(events: Iterator[object]) -> Nodes:
+    """What ``_events`` came from."""
+    stack: list[Nodes] = [[]]
+    for x in events:
+        if x == "(":
+            stack.append([])
+        elif isinstance(x, str) and x[0] == ")":
+            inner = stack.pop()
+            stack[-1].append([x[1], inner])
+        else:
+            stack[-1].append(x)
+    return stack[0]
+
+
+#: Bits of a table of an alignment's rows that are kept; of larger ones every so many rows, and the others are made again.
+_TABLE_BITS = 1 << 26
+
 
+def _common(a: list, b: list) -> list[tuple[int | None, int | None]]:
+    """Alignment of two sequences along a longest common subsequence: (place in a, place in b), None where one has nothing.
 
-def _slots(nodes: Nodes) -> int:
-    return sum(1 if n == "#" else _slots(n[1]) if isinstance(n, list) else 0 for n in nodes)
+    Rows of the table are bit vectors (a bit for each place of b, zero where a
+    longer subsequence begins), so a row costs a few operations on long numbers.
+    """
+    n, m = len(a), len(b)
+    mask = (1 << m) - 1
+    where: dict[object, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << (m - 1 - j)
+
+    def row(below: int, x: object) -> int:
+        u = below & where.get(x, 0)
+        return ((below + u) | (below - u)) & mask
+
+    every = max(1, int((n * m / _TABLE_BITS) ** 0.5 + 0.5)) if n * m > _TABLE_BITS else 1
+    kept = {n: mask}
+    v = mask
+    for i in range(n - 1, -1, -1):
+        v = row(v, a[i])
+        if i % every == 0:
+            kept[i] = v
+    block: dict[int, int] = {}
+
+    def vector(i: int) -> int:
+        if i in kept:
+            return kept[i]
+        if i not in block:
+            block.clear()
+            top = min(n, (i // every + 1) * every)
+            x = kept[top]
+            for k in range(top - 1, i // every * every, -1):
+                x = block[k] = row(x, a[k])
+        return block[i]
+
+    steps: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            steps.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        if j >= m:
+            down = True
+        elif i >= n:
+            down = False
+        else:
+            rest = (1 << (m - j)) - 1
+            down = (vector(i) & rest).bit_count() == (vector(i + 1) & rest).bit_count()
+        if down:
+            steps.append((i, None))
+            i += 1
+        else:
+            steps.append((None, j))
+            j += 1
+    return steps
 
 
 class Wrapper:
@@ -277,31 +392,20 @@ class Wrapper:
 
     def _number(self, nodes: Nodes) -> tuple[Nodes, list[int]]:
         """nodes with each '#' as a number of its own, and those numbers."""
-        out: Nodes = []
-        mine: list[int] = []
-        for n in nodes:
-            if n == "#":
-                out.append(self.count)
-                mine.append(self.count)
-                self.count += 1
-            elif isinstance(n, list):
-                inner, m = self._number(n[1])
-                out.append([n[0], inner])
-                mine += m
-            else:
-                out.append(n)
-        return out, mine
+        first = self.count
+        out = _nested(self._next() if x == "#" else x for x in _events(nodes))
+        return out, list(range(first, self.count))
+
+    def _next(self) -> int:
+        self.count += 1
+        return self.count - 1
 
     @staticmethod
-    def _matches(w: object, p: object) -> bool:
-        """Whether a wrapper node and a page node may stand for each other."""
-        if isinstance(w, list) and w[0] == "?":
-            return False
-        if isinstance(w, int) or p == "#":
-            return isinstance(w, int) and p == "#"
-        if isinstance(w, list) and isinstance(p, list):
-            return Wrapper._first(w[1]) == Wrapper._first(p[1])
-        return w == p
+    def _kind(x: object) -> object:
+        """What a node can stand for: nodes of one kind match."""
+        if isinstance(x, list):
+            return x[0], Wrapper._first(x[1])
+        return "#" if isinstance(x, int) else x
 
     @staticmethod
     def _first(nodes: Nodes) -> object:
@@ -311,88 +415,90 @@ class Wrapper:
 
     def absorb(self, page: Nodes) -> list[int]:
         """Generalises to also match page; the wrapper's slot of each of its slots."""
-        self.nodes, slots = self._align(self.nodes, page)
+        # Alignments inside groups are asked for by those around them.
+        work, value = [self._align(self.nodes, page)], None
+        while work:
+            try:
+                inner = work[-1].send(value)
+            except StopIteration as done:
+                work.pop()
+                value = done.value
+            else:
+                work.append(self._align(*inner))
+                value = None
+        self.nodes, slots = value
         return slots
 
-    def _instances(self, group: list, page: Nodes, at: int) -> int:
-        """Nodes of page from at on that are one instance of a repeated group, or 0."""
-        body = group[1]
-        want = [x for x in body if not (isinstance(x, list) and x[0] == "?")]
-        if at + len(want) <= len(page) and want and all(self._matches(w, p) for w, p in zip(want, page[at : at + len(want)], strict=True)):
-            return len(want)
-        return 0
+    def _instances(self, want: list, page: list, at: int) -> int:
+        """Kinds of page from at on that are one instance of a repeated group, or 0."""
+        return len(want) if want and page[at : at + len(want)] == want else 0
 
-    def _align(self, wrapper: Nodes, page: Nodes) -> tuple[Nodes, list[int]]:
+    def _align(self, wrapper: Nodes, page: Nodes) -> Generator[tuple[Nodes, Nodes], tuple[Nodes, list[int]], tuple[Nodes, list[int]]]:
         # Single instances of the wrapper's repeated groups are wrapped first, and the other way round.
         page = self._wrap(page, [g for g in wrapper if isinstance(g, list) and g[0] == "+"])
-        flat: list[tuple[object, bool]] = []
-        for n in wrapper:
+        flat: list[tuple[object, int | None]] = []  # nodes, with the number of the optional group they stand in
+        for k, n in enumerate(wrapper):
             if isinstance(n, list) and n[0] == "?":
-                flat += [(x, True) for x in n[1]]
+                flat += [(x, k) for x in n[1]]
             else:
-                flat.append((n, False))
+                flat.append((n, None))
+        a, b = [self._kind(x) for x, _ in flat], [self._kind(x) for x in page]
         # Common head and tail first: streams of one host differ in the middle.
         lo = 0
-        while lo < len(flat) and lo < len(page) and self._matches(flat[lo][0], page[lo]):
+        while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
             lo += 1
         hi = 0
-        while hi < len(flat) - lo and hi < len(page) - lo and self._matches(flat[-1 - hi][0], page[-1 - hi]):
+        while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
             hi += 1
-        n, m = len(flat) - lo - hi, len(page) - lo - hi
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if self._matches(flat[lo + i][0], page[lo + j]) else max(below[j], row[j + 1])
+        middle = _common(a[lo : len(a) - hi], b[lo : len(b) - hi])
         steps: list[tuple[int | None, int | None]] = [(k, k) for k in range(lo)]
-        i = j = 0
-        while i < n or j < m:
-            if i < n and j < m and self._matches(flat[lo + i][0], page[lo + j]):
-                steps.append((lo + i, lo + j))
-                i, j = i + 1, j + 1
-            elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-                steps.append((lo + i, None))
-                i += 1
-            else:
-                steps.append((None, lo + j))
-                j += 1
-        steps += [(len(flat) - hi + k, len(page) - hi + k) for k in range(hi)]
-        out: list[tuple[object, bool]] = []
+        steps += [(None if w is None else lo + w, None if p is None else lo + p) for w, p in middle]
+        steps += [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+        # Neighbours with one mark are optional together: pages have all of them or none.
+        out: list[tuple[object, object]] = []
         slots: list[int] = []
         for w, p in steps:
             if p is None:
-                out.append((flat[w][0], True))
+                out.append((flat[w][0], ("without", flat[w][1])))
             elif w is None:
                 new, mine = self._number([page[p]])
                 slots += mine
-                out.append((new[0], True))
+                out.append((new[0], "new"))
             else:
-                node, optional = flat[w]
+                node, group = flat[w]
                 if isinstance(node, int):
                     slots.append(node)
                 elif isinstance(node, list):
-                    inner, mine = self._align(node[1], page[p][1])
+                    inner, mine = yield node[1], page[p][1]
                     slots += mine
                     node = ["+", inner]
-                out.append((node, optional))
+                out.append((node, None if group is None else ("with", group)))
         grouped: Nodes = []
-        for node, optional in out:
-            if not optional:
+        last: object = None
+        for node, mark in out:
+            if mark is None:
                 grouped.append(node)
-            elif grouped and isinstance(grouped[-1], list) and grouped[-1][0] == "?":
+            elif mark == last:
                 grouped[-1][1].append(node)
             else:
                 grouped.append(["?", [node]])
+            last = mark
         return grouped, slots
 
     def _wrap(self, page: Nodes, groups: list) -> Nodes:
         """page with unrepeated instances of the groups as repeated groups of one."""
-        if not groups:
+        wanted: dict[object, list[list]] = {}
+        for g in groups:
+            want = [self._kind(x) for x in g[1] if not (isinstance(x, list) and x[0] == "?")]
+            if want:
+                wanted.setdefault(want[0], []).append(want)
+        if not wanted:
             return page
+        kinds = [self._kind(x) for x in page]
         out: Nodes = []
         at = 0
         while at < len(page):
-            size = next((s for g in groups if (s := self._instances(g, page, at))), 0)
+            size = next((k for want in wanted.get(kinds[at], ()) if (k := self._instances(want, kinds, at))), 0)
             if size:
                 out.append(["+", page[at : at + size]])
                 at += size
@@ -401,37 +507,43 @@ class Wrapper:
                 at += 1
         return out
 
-    def text(self, nodes: Nodes | None = None) -> str:
+    def text(self) -> str:
         """The expression: tags as they are, #PCDATA for slots, (...)+ and (...)? for groups."""
-        parts = []
-        for n in self.nodes if nodes is None else nodes:
-            parts.append("#PCDATA" if isinstance(n, int) else n if isinstance(n, str) else f"({self.text(n[1])}){n[0]}")
-        return " ".join(parts)
+        parts: list[str] = []
+        for x in _events(self.nodes):
+            if parts and parts[-1] != "(" and not (isinstance(x, str) and x[0] == ")"):
+                parts.append(" ")
+            parts.append("#PCDATA" if isinstance(x, int) else x)
+        return "".join(parts)
 
     def asides(self) -> list[bool]:
         """For each slot, whether it stands in something that holds no content."""
         out = [False] * self.count
         path: list[tuple[str, bool]] = []
-
-        def walk(nodes: Nodes) -> None:
-            for n in nodes:
-                if isinstance(n, list):
-                    walk(n[1])
-                elif isinstance(n, int):
-                    out[n] = any(a for _, a in path)
-                elif n.startswith("</"):
-                    name = n[2:-1]
-                    for k in range(len(path) - 1, -1, -1):
-                        if path[k][0] == name:
-                            del path[k:]
-                            break
-                else:
-                    name, *names = n[1:-1].split(".")
-                    if name not in VOID:
-                        heads = any(x in SECTIONS for x, _ in path)
-                        path.append((name, any(x in group and not (heads and x == "header") for group, own in ((ASIDE_TAGS, [name]), (ASIDE_NAMES, names)) for x in own)))
-
-        walk(self.nodes)
+        opened: dict[str, int] = {}
+        inside = sections = 0
+        for n in _events(self.nodes):
+            if isinstance(n, int):
+                out[n] = inside > 0
+            elif n[0] != "<":
+                continue
+            elif n.startswith("</"):
+                name = n[2:-1]
+                while opened.get(name, 0):
+                    other, aside = path.pop()
+                    opened[other] -= 1
+                    inside -= aside
+                    sections -= other in SECTIONS
+                    if other == name:
+                        break
+            else:
+                name, *names = n[1:-1].split(".")
+                if name not in VOID:
+                    aside = any(x in group and not (sections and x == "header") for group, own in ((ASIDE_TAGS, [name]), (ASIDE_NAMES, names)) for x in own)
+                    path.append((name, aside))
+                    opened[name] = opened.get(name, 0) + 1
+                    inside += aside
+                    sections += name in SECTIONS
         return out
 
 
@@ -442,7 +554,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             kinds, texts = tokens(page or "")
             nodes, slot_of = fold(kinds)
-            plain = json.dumps(nodes, separators=(",", ":"))
+            plain = json.dumps(list(_events(nodes)), separators=(",", ":"))
             rows.append((page_id, host_of(url), hashlib.md5(plain.encode()).hexdigest(), plain, slot_of, texts))
         if rows:
             c = list(zip(*rows, strict=True))
@@ -461,7 +573,7 @@ def induce(streams: list[Nodes]) -> tuple[Wrapper, list[list[int]]]:
 
 def _induce_host(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["pages", "sig"], ascending=[False, True])
-    wrapper, maps = induce([json.loads(x) for x in pdf["nodes"]])
+    wrapper, maps = induce([_nested(json.loads(x)) for x in pdf["nodes"]])
     aside = wrapper.asides()
     return pd.DataFrame({"host": pdf["host"], "sig": pdf["sig"], "slot_map": maps, "aside": [[aside[s] for s in m] for m in maps], "wrapper": wrapper.text()})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -202,6 +203,51 @@ def test_wide_records():
     assert w.count == 11 and w.text().count("(") == 1
 
 
+def test_alignment_by_brute_force(monkeypatch):
+    """The bit vectors against the plain table, all rows kept or only some."""
+    rng = random.Random(4)
+    for bits in (1 << 26, 40, 3):
+        monkeypatch.setattr(wrappers, "_TABLE_BITS", bits)
+        for _ in range(60):
+            a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            n, m = len(a), len(b)
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n - 1, -1, -1):
+                for j in range(m - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            steps = wrappers._common(a, b)
+            assert [i for i, _ in steps if i is not None] == list(range(n)) and [j for _, j in steps if j is not None] == list(range(m))
+            both = [(i, j) for i, j in steps if i is not None and j is not None]
+            assert all(a[i] == b[j] for i, j in both) and len(both) == best[0][0]
+
+
+def test_large_pages(spark):
+    """Closed elements nested 10,000 deep, repeated groups nested 3,000 deep, and two pages of 20,000 nodes of one host."""
+    rng = random.Random(1)
+    flat = ["".join(f"<{rng.choice(['p', 'div', 'h2', 'h3'])}>{rng.choice(['', 'text'])}" for _ in range(20_000)) for _ in range(2)]
+    lists = "<ul><li>a<li>b<li>" * 3000 + "end" + "</ul>" * 3000
+    pages = [(1, "https://deep.example/1", "<div>" * 10_000 + "deep" + "</div>" * 10_000), (2, "https://deep.example/2", "<div>" * 9_000 + "less" + "</div>" * 9_000), (3, "https://lists.example/", lists), (4, "https://lists.example/", "<p>other</p>" + lists)]
+    pages += [(5 + k, "https://flat.example/", x) for k, x in enumerate(flat)]
+    out = {r["page_id"]: r for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[1]["content"] == "deep" and out[2]["content"] == "less" and out[3]["wrapper_id"] == out[4]["wrapper_id"] and out[6]["wrapper_id"] == out[5]["wrapper_id"]
+    assert "other" in out[4]["content"]
+
+
+def test_wrappers_accept_their_pages(spark, sf_dir):
+    """A host's wrapper, as a regular expression over tags, matches every page of the host: those it was made from, and odd ones."""
+    rng = random.Random(2)
+    hosts = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html").collect():
+        hosts[wrappers.host_of(r["url"])].append(wrappers.tokens(r["html"])[0])
+    for k in range(30):
+        hosts[f"odd{k}"] = [wrappers.tokens("".join(rng.choice(["<p>", "</p>", "<ul>", "</ul>", "<li>", "<div>", "</div>", "x ", "<br>", "<hr>"]) for _ in range(rng.randint(1, 40))))[0] for _ in range(5)]
+    for streams in hosts.values():
+        w, _ = wrappers.induce([wrappers.fold(x)[0] for x in streams])
+        pattern = "".join({"(": "(?:", ")+": ")+", ")?": ")?"}.get(x, re.escape("#\n" if isinstance(x, int) else f"{x}\n")) for x in wrappers._events(w.nodes))
+        for x in streams:
+            assert re.fullmatch(pattern, "".join(f"{t}\n" for t in x)), (x, w.text())
+
+
 def test_links_in_texts():
     """Links in running text are text; blocks made of links aren't content; forms and the headers of articles are."""
 
@@ -245,6 +291,26 @@ def test_every_page_keeps_its_article(spark, sf_dir):
         assert " ".join(first.split()) in r["content"]
 
 
+def test_pipeline_odd(spark, odd, empty, sf_dir):
+    """Nulls, repeated rows and ids, clashing names and an empty table through all stages."""
+    more = spark.createDataFrame(
+        [(2, "Etwas ganz anderes steht in diesem Text und er ist lang genug", "de", "a", 61), (None, "Some quite different text that is long enough to be told", "en", "b", 55), (None, "Another text without a number, and none of the others is like it", "en", "b", 64)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    names = [c for c in odd.columns if c not in more.columns]
+    for table in (odd.unionByName(more.withColumns({n: F.lit("x") for n in names})), empty):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, sf_dir)
+            path = f"{shared_dir(spark)}/odd-{name}-{random.random()}"
+            out.write.parquet(path)
+            kept = spark.read.parquet(path)
+            if name != "sentencepiece":
+                assert kept.columns == table.columns
+        decoded = [r["decoded"] for r in kept.collect()]
+        assert (not decoded) if table is empty else any("anderes" in d for d in decoded) and sum("without a number" in d or "quite different" in d for d in decoded) >= 1
+
+
 def test_pipeline(spark, docs, sf_dir):
     """Each stage on what its predecessor kept, against brute force where SQL can't say it."""
     from evalweave.llm import language, sentencepieces, simhash
