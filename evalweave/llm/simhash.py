@@ -4,16 +4,23 @@ A document's 128-bit SimHash is the majority, bit by bit, over the hashes of
 its distinct words. Equal fingerprints fall together first. Distinct ones meet
 in the buckets of hash tables keyed by random choices of bits; the number of
 tables follows from the bits a key has, so that a pair at RADIUS bits meets with
-probability RECALL (closer pairs more surely), at every size.
+probability RECALL (closer pairs more surely), at every size. Keys have as many
+bits as leave about BUCKET fingerprints to a bucket, where comparing a
+fingerprint with its bucket costs about as much as sending it there.
 Inside a bucket nothing is skipped: fingerprints are turned into bit planes, 64
 of them to a word, and carry-save adders count differing bits of 64 pairs at a
 time; blocks in which every pair is beyond the radius are abandoned. Groups are
 the connected components of pairs within the radius.
 
 Cases: null, empty and blank texts have no fingerprint and no near duplicates;
-equal texts are near duplicates; rows that repeat a doc_id count once in
-``find_near`` (a document isn't its own duplicate) and one of them stays in
-``drop_near``; an empty table gives an empty result; further columns pass
+equal texts are near duplicates. ``drop_near`` decides by row: of a group's rows
+the one with the lowest doc_id stays (a null doc_id is above all others; rows of
+one doc_id go by their texts' hashes; of rows that repeat both, one stays), so a
+doc_id that comes with several texts loses only those that are near others.
+``find_near`` names documents: one that repeats its own doc_id isn't its own
+duplicate, one without a doc_id comes with a null, and a group without any
+doc_id has no row. doc_id may be of any type that can be ordered (integers come
+back as long); an empty table gives an empty result; further columns pass
 through ``drop_near`` whatever their names.
 """
 
@@ -26,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import fresh, materialise, quoted, read, sized
 from .kernels import mix, slices, words
@@ -34,8 +42,10 @@ NBITS = 128
 RADIUS = 24
 REFERENCE_DISTANCE = RADIUS
 RECALL = 0.92
+#: Fingerprints that a bucket holds on the average, at most.
+BUCKET = 512
 #: Buckets of more fingerprints than this are searched breadth first, leaving out pairs that are already connected.
-ALL_PAIRS = 512
+ALL_PAIRS = 8 * BUCKET
 
 _ONES = ~np.uint64(0)
 _SPREAD = np.zeros(256, dtype=np.uint64)
@@ -80,14 +90,14 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_bits(n: int) -> int:
-    """Bits of a table's key for n fingerprints: buckets stay small as n grows."""
-    return min(48, max(16, math.ceil(math.log2(max(n, 2))) - 6))
+    """Bits of a table's key for n fingerprints: buckets keep their size as n grows."""
+    return min(48, max(0, math.ceil(math.log2(max(n, 2) / BUCKET))))
 
 
 def tables_for(bits: int) -> int:
     """Tables in which a pair at the reference distance meets with probability RECALL."""
     meet = math.prod((NBITS - REFERENCE_DISTANCE - i) / (NBITS - i) for i in range(bits))
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - meet)) if bits else 1
 
 
 def _choices(bits: int) -> np.ndarray:
@@ -208,16 +218,15 @@ def _links_all(bits: np.ndarray, start: np.ndarray, size: np.ndarray, radius: in
     valid[mine] &= (_ONES << shift) << np.uint64(1)
     some = np.flatnonzero(valid)
     q, block, valid = q[some], block[some], valid[some]
-    a, b = [], []
+    # Pairs become links to the least member as they come, so a bucket of like fingerprints doesn't hold its square.
+    label = np.arange(n)
+    member = np.zeros(0, np.int64)
     for lo in range(0, len(q), 1 << 15):
         part = slice(lo, lo + (1 << 15))
         p, lane = within(planes, block[part], bits[rows[q[part]]], valid[part], radius)
-        a.append(q[part][p])
-        b.append(row_of[block[part][p] * 64 + lane])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    label = _components(n, np.concatenate(a), np.concatenate(b))
-    member = np.flatnonzero(label != np.arange(n))
+        if len(p):
+            label = _components(n, np.concatenate([member, q[part][p]]), np.concatenate([label[member], row_of[block[part][p] * 64 + lane]]))
+            member = np.flatnonzero(label != np.arange(n))
     return rows[member], rows[label[member]]
 
 
@@ -327,9 +336,10 @@ def _bucket_rows(bits: int):
 
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp, has = fingerprints(batch.column(1))
+        fp, has = fingerprints(batch.column(2))
         at = np.flatnonzero(has)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(fp[at, 0].view(np.int64)), pa.array(fp[at, 1].view(np.int64))], names=["doc_id", "hi", "lo"])
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(fp[at, 0].view(np.int64)), pa.array(fp[at, 1].view(np.int64))], names=["doc_id", "th", "hi", "lo"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -350,38 +360,46 @@ def components(links: DataFrame) -> DataFrame:
         edges, size = materialise(small)
 
 
-def _roots(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int]:
-    """Written table doc_id, hi, lo of all fingerprints; and of the linked ones (hi, lo, root): the group's least doc_id."""
-    prints, _ = materialise(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null and doc_id is not null").mapInArrow(_print_rows, "doc_id long, hi long, lo long"))
-    distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("ident"))
-    distinct, _ = materialise(distinct)
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, th (the text's hash), keep: for each row with a fingerprint the struct (unnamed, doc_id, th) of the row that stays of its group."""
+    doc_id = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
+    texts = docs.where("text is not null").select(doc_id.alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    prints, _ = materialise(texts.mapInArrow(_print_rows, f"doc_id {kind}, th long, hi long, lo long"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    distinct, _ = materialise(prints.groupBy("hi", "lo").agg(F.min(row).alias("least")).withColumn("ident", F.monotonically_increasing_id()))
     bits = key_bits(distinct.count())
-    rows = distinct.mapInArrow(_bucket_rows(bits), "key long, hi long, lo long, ident long")
+    rows = distinct.select("hi", "lo", "ident").mapInArrow(_bucket_rows(bits), "key long, hi long, lo long, ident long")
     links = rows.repartition("key").sortWithinPartitions("key", "ident").mapInArrow(_pairs_in_buckets(radius), "a long, b long")
     roots = components(links)
-    linked, size = materialise(roots.join(distinct, roots["node"] == distinct["ident"]).select("hi", "lo", "root"))
-    return prints, linked, size
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = distinct.join(nodes, F.col("ident") == F.col("node")).select("hi", "lo", "root", F.min("least").over(Window.partitionBy("root")).alias("group"))
+    linked, size = materialise(members.select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), "group"))
+    own = F.min(row).over(Window.partitionBy("hi", "lo"))
+    whole = prints.withColumn("own", own).join(sized(linked, size), (F.col("hi") == F.col("g_hi")) & (F.col("lo") == F.col("g_lo")), "left")
+    return whole.select("doc_id", "th", F.coalesce("group", "own").alias("keep"))
 
 
 def find_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, keep_id: a row for each document that has a near duplicate of lower doc_id in its group; keep_id is the group's lowest."""
-    prints, linked, size = _roots(docs, radius)
-    own = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
-    whole = prints.join(own, ["hi", "lo"]).join(sized(linked, size), ["hi", "lo"], "left").select("doc_id", F.coalesce("root", "least").alias("keep_id"))
-    return whole.where("doc_id <> keep_id").distinct()
+    other = _grouped(docs, radius).select("doc_id", F.col("keep.doc_id").alias("keep_id")).where("keep_id is not null and not (doc_id <=> keep_id)")
+    return other.distinct()
 
 
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document (the lowest doc_id) of each group of near duplicates; documents without a fingerprint stay."""
-    rank, gone, twice = (fresh(docs.columns, n) for n in ("rank", "gone", "twice"))
-    pairs, size = materialise(find_near(docs, radius).select(F.col("doc_id").alias(gone)).distinct())
-    # A doc_id that comes more than once with one text is one document; such rows are few and counted first.
-    again, again_size = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)))
-    kept = docs.join(sized(pairs, size), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
-    once = kept.join(sized(again, again_size), F.col("doc_id") == F.col(twice), "left_anti")
-    more = kept.join(sized(again, again_size), F.col("doc_id") == F.col(twice), "left_semi")
-    more = more.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))).where(F.col(rank) == 1)
-    return once.unionByName(more.drop(rank)).select(*[quoted(c) for c in docs.columns])
+    """docs with one row of each group of near duplicates; rows without a fingerprint stay."""
+    rank, th, key, gone, gone_th = (fresh(docs.columns, n) for n in ("rank", "th", "key", "gone", "gone_th"))
+    grouped = _grouped(docs, radius)
+    pairs = grouped.groupBy("doc_id", "th").agg(F.min(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th")))).alias("goes"), F.count(F.lit(1)).alias("n"))
+    # Rows that repeat doc_id and text are few: one of each such set stays, if any.
+    told, size = materialise(pairs.where("goes or n > 1").select(F.col("doc_id").alias(gone), F.col("th").alias(gone_th), "goes"))
+    doc_id = docs["doc_id"].cast(told.schema[gone].dataType)
+    marked = docs.withColumns({key: doc_id, th: F.xxhash64("text")})
+    here = F.col(key).eqNullSafe(F.col(gone)) & (F.col(th) == F.col(gone_th)) & F.col("text").isNotNull()
+    once = marked.join(sized(told.drop("goes"), size), here, "left_anti")
+    more = marked.join(sized(told.where("not goes").drop("goes"), size), here, "left_semi")
+    more = more.withColumn(rank, F.row_number().over(Window.partitionBy(key, th).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank)
+    return once.unionByName(more).select(*[quoted(c) for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,41 @@ def test_near_odd(odd, empty):
     assert simhash.find_near(empty).count() == 0 and simhash.drop_near(empty).count() == 0
 
 
+def test_near_rows_are_decided_one_by_one(spark):
+    """One id with several texts, null ids and ids that are texts: no row goes that isn't near a row that stays."""
+    rng = np.random.default_rng(8)
+    a, u, v = (" ".join(f"{x}{i}" for i in rng.permutation(60)) for x in "auv")
+    rows = [(1, a), (2, a + " tail"), (2, u), (None, a), (None, v), (None, v + " tail"), (3, u), (3, u), (None, None), (4, "")]
+    for kind, cast in (("long", lambda x: x), ("string", lambda x: None if x is None else f"d{x}"), ("int", lambda x: x)):
+        docs = spark.createDataFrame([(cast(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near(docs).collect()]
+        assert sorted(kept[:], key=str) == sorted([(cast(1), a), (cast(2), u), (None, None), (cast(4), "")] + [x for x in kept if x[1] in (v, v + " tail")], key=str)
+        assert sum(t in (v, v + " tail") for _, t in kept) == 1
+        near = {(r["doc_id"], r["keep_id"]) for r in simhash.find_near(docs).collect()}
+        assert near == {(cast(2), cast(1)), (None, cast(1)), (cast(3), cast(2))}
+
+
+def test_large_buckets(monkeypatch):
+    """Buckets of hundreds of like fingerprints: links, not pairs, and the same groups by either search."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (3, simhash.NBITS), dtype=np.uint8)
+    bits = base[rng.integers(0, 3, 1500)] ^ (rng.random((1500, simhash.NBITS)) < 0.04).astype(np.uint8)
+    one = simhash._links_all(bits, np.array([0]), np.array([1500]), 24)
+    other = simhash._links_search(bits, 24)
+    labels = []
+    for m, root in (one, other):
+        label = np.arange(1500)
+        label[m] = root
+        labels.append(label.tolist())
+    assert labels[0] == labels[1] and len(one[0]) < 1500
+
+
+@pytest.mark.parametrize("n", [1, 300, 20_000, 2**24, 2**36])
+def test_keys_follow_the_input(n):
+    bits = simhash.key_bits(n)
+    assert n / 2**bits <= simhash.BUCKET and (bits == 0 or n / 2**bits > simhash.BUCKET / 2) and simhash.tables_for(bits) >= 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (10, 8), (10, 9), (7, 5)], "a long, b long")
     assert {(r["node"], r["root"]) for r in simhash.components(links).collect()} == {(3, 1), (4, 1), (5, 1), (7, 1), (9, 8), (10, 8)}
