@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its written size is at most this many bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,15 +22,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path, as the JVM has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/evalweave-{uuid.uuid4().hex}"
+    fs, where = file_system(spark, path)
+    fs.mkdirs(where.getParent())
+    fs.create(where).close()  # only what exists can be marked
+    fs.deleteOnExit(where)
+    fs.delete(where, True)
+    return path
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, int]:
     """Writes df as Parquet into the shared folder; the table read back (its lineage is those files) and its bytes."""
+    table, size, _ = written(df)
+    return table, size
+
+
+def written(df: DataFrame) -> tuple[DataFrame, int, str]:
+    """As ``materialise``, and the table's path, for tables that ``remove`` takes away before the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evalweave-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(df.schema).parquet(path), fs.getContentSummary(where).getLength()
+    fs, where = file_system(spark, path)
+    return spark.read.schema(df.schema).parquet(path), fs.getContentSummary(where).getLength(), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no plan reads any more."""
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
 
 
 def sized(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:

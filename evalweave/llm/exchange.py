@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import new_path
 
 #: Bytes of text of a chunk, which a Python worker holds at once (with some twenty times as much in arrays of words).
 CHUNK_BYTES = 4 << 20
@@ -93,7 +93,7 @@ def _buckets(spark: SparkSession, size: int, chunk_bytes: int) -> int:
 def write_chunks(docs: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES, notes: Notes | None = None, note_types: str = "") -> tuple[DataFrame, int]:
     """docs (doc_id, text, held) as a written table chunk, data and the notes taken of each chunk; and its buckets. size: bytes of all texts."""
     spark = docs.sparkSession
-    name, path = f"evalweave_{uuid.uuid4().hex}", f"{shared_dir(spark)}/evalweave-{uuid.uuid4().hex}"
+    name, path = f"evalweave_{uuid.uuid4().hex}", new_path(spark)
     buckets = _buckets(spark, size, chunk_bytes)
     chunks = docs.mapInArrow(_cut(chunk_bytes, notes), "chunk long, data binary" + note_types)
     chunks.write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import materialise, read, remove, written
 from .exchange import BLOBS, CHUNK_BYTES, Packer, Unpacker, blobs, bounds, opened, parts_for, text_bytes, write_chunks
 from .kernels import Slice, slices, words
 
@@ -269,8 +269,9 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray |
     grams, _ = materialise(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held")))
     tables = _tables(grams)
     if weights is None:
-        events, _ = materialise(_events(tables))
+        events, _, path = written(_events(tables))
         weights = learn(events)
+        remove(docs.sparkSession, path)
     answers = asked.select("gram", "chunk").join(_probabilities(tables, weights), "gram").select("chunk", "gram", "logp")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk, f"doc_id {kind}, n_bytes long, log_prob double, bits_per_byte double")
@@ -492,7 +493,9 @@ def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.nda
 
         odd = "chunk % 2 = 1"
         heldout = chunks.where(odd).groupBy("chunk").cogroup(answers.where(odd).groupBy("chunk")).applyInArrow(events, "weight long, p3 double, p2 double, p1 double, b3 int, b2 int, b1 int")
-        weights = learn(materialise(heldout)[0], ROUNDS, base)
+        table, _, path = written(heldout)
+        weights = learn(table, ROUNDS, base)
+        remove(docs.sparkSession, path)
     found = weights
 
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:

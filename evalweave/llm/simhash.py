@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import fresh, materialise, quoted, read, sized
+from .common import fresh, materialise, quoted, read, remove, sized, written
 from .kernels import mix, slices, words
 
 NBITS = 128
@@ -344,7 +344,7 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b) with a > b that isn't its component's least one; large and small stars by turns."""
-    edges, size = materialise(links.distinct())
+    edges, _, path = written(links.distinct())
     before = None
     while True:
         tally = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -357,7 +357,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.select(F.col("b").alias("a"), least.alias("b"), F.col("a").alias("u")).where("a > u and a > b").select("a", "b").distinct()
         lowest = large.select("a", F.col("b").alias("v"), F.min("b").over(around).alias("m"))
         small = lowest.select("a", F.col("m").alias("b")).unionByName(lowest.where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct()
-        edges, size = materialise(small)
+        edges, _, newer = written(small)
+        remove(links.sparkSession, path)
+        path = newer
 
 
 def _grouped(docs: DataFrame, radius: int) -> DataFrame:
