@@ -104,13 +104,26 @@ def merged_slices(scenario: Column, score: Column) -> Column:
     return F.map_zip_with(F.coalesce(scenario, none), F.coalesce(score, none), lambda _, a, b: F.coalesce(b, a))
 
 
-def slice_summary(scores: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+def slice_summary(scores: DataFrame, weights: Mapping[str, float] | None = None, slices: DataFrame | None = None) -> DataFrame:
     """runner_id, slice, axis, mean, variance, n, composite; the composite uses the runner's weights as they are.
 
-    scores has a column slices (map<string, array<string>>).
+    slices: scenario_id, slices (map<string, array<string>>) of the scenarios;
+    without it scores has a column slices of its own. Scores of one scenario (or of
+    equal slices) are folded to their number, mean and variance before they are
+    spread over their labels, so what moves follows the label sets, not the scores.
     """
-    labelled = scores.select("runner_id", "axis", "value", F.explode(slice_labels(F.col("slices"))).alias("slice"))
-    axes = labelled.groupBy("runner_id", "slice", "axis").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.count("value").alias("n"))
+    key = F.col("scenario_id") if slices is not None else F.map_entries("slices")
+    folded = scores.groupBy("runner_id", "axis", key.alias("key")).agg(F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    if slices is not None:
+        folded = folded.join(slices.select(F.col("scenario_id").alias("key"), "slices"), "key", "left")
+    else:
+        folded = folded.withColumn("slices", F.map_from_entries("key"))
+    square = F.col("v") + F.col("m") * F.col("m")
+    parts = folded.select("runner_id", "axis", F.explode(slice_labels(F.col("slices"))).alias("slice"), "k", (F.col("k") * F.col("m")).alias("s1"), (F.col("k") * square).alias("s2"))
+    sums = parts.groupBy("runner_id", "slice", "axis").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("k").alias("n"))
+    n = F.nullif(F.col("n"), F.lit(0))
+    mean = F.col("s1") / n
+    axes = sums.select("runner_id", "slice", "axis", mean.alias("mean"), F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.col("s2") / n - mean * mean)).alias("variance"), "n")
     runner_weights = weighted_axes(axis_summary(scores), weights).select("runner_id", "axis", "weight")
     whole = F.sum(F.col("weight") * F.col("mean")).over(Window.partitionBy("runner_id", "slice"))
     return axes.join(runner_weights, ["runner_id", "axis"]).withColumn("composite", whole).drop("weight")

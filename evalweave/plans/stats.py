@@ -70,8 +70,7 @@ def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT g.*, sum(w.weight * g.mean) OVER (PARTITION BY g.runner_id, g.slice) AS composite FROM g JOIN weighted w ON g.runner_id = w.runner_id AND g.axis = w.axis)""",
 )
 def slice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = t.scores(spark, sf_dir).join(t.slices(spark, sf_dir), "scenario_id", "left")
-    return rounded(aggregate.slice_summary(scored, WEIGHTS), "mean", "variance", "composite").select("runner_id", "axis", "slice", "mean", "variance", "n", "composite")
+    return rounded(aggregate.slice_summary(t.scores(spark, sf_dir), WEIGHTS, t.slices(spark, sf_dir)), "mean", "variance", "composite").select("runner_id", "axis", "slice", "mean", "variance", "n", "composite")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scanning
 from ..functions import text as tx
-from ..operators import audit, persistence, rubrics, scoring
+from ..operators import audit, diagnostics, persistence, rubrics, scoring
 from ..sources import tables as t
 from .catalog import query
 from .stats import rounded
@@ -57,7 +57,7 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.leakage(_evaluation(spark, sf_dir), _prompts(spark, sf_dir)), "overlap")
 
 
-@query("item_flags", f"WITH scores AS ({t.SCORES_SQL}), s AS (SELECT concat('s', x) AS scenario_id FROM range(0, 520) r(x)), p AS (SELECT scenario_id, avg(CASE WHEN value >= 0.5 THEN 1 ELSE 0 END) AS pass_rate FROM scores WHERE axis = 'N' AND runner_id = 'r1' GROUP BY 1) SELECT scenario_id, round(coalesce(pass_rate, 0), 9) AS pass_rate, CASE WHEN coalesce(pass_rate, 0) = 1 THEN 'too-easy' WHEN coalesce(pass_rate, 0) = 0 THEN 'too-hard' END AS flag FROM s LEFT JOIN p USING (scenario_id)")
+@query("item_flags", f"WITH scores AS ({t.SCORES_SQL}), s AS (SELECT concat('s', x) AS scenario_id FROM range(0, 520) r(x)), p AS (SELECT scenario_id, avg(CASE WHEN value >= 0.5 THEN 1 ELSE 0 END) AS pass_rate FROM scores WHERE axis = 'N' AND runner_id = 'r1' GROUP BY 1) SELECT scenario_id, round(coalesce(pass_rate, 0), 9) AS pass_rate, CASE pass_rate WHEN 1 THEN 'too-easy' WHEN 0 THEN 'too-hard' END AS flag FROM s LEFT JOIN p USING (scenario_id)")
 def item_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenarios = spark.range(520).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("scenario_id"))
     scored = t.scores(spark, sf_dir).where("axis = 'N' and runner_id = 'r1'").withColumn("value", (F.col("value") >= 0.5).cast("int"))
@@ -99,10 +99,61 @@ def ambiguous_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", audit.ambiguous_prompt(F.col("text")).alias("why")).where("why is not null")
 
 
-@query("audit_findings")
+_RUBRICS = [
+    '{"kind":"programmatic","checker":"keyword","params":{"expected":["the"]}}', '{"kind":"programmatic","checker":"contains","params":{"expected":["real evidence","the reason holds"]}}', '{"kind":"programmatic","checker":"exact-match","params":{"expected":7}}',
+    '{"kind":"llm-judge","prompt":"rate it"}', '{"kind":"programmatic","checker":"keyword","params":{"expected":["a b","c d"],"forbidden":[["A  B"]]}}', '{"kind":"human","instructions":"be fair"}',
+]
+AUDIT = diagnostics.Options(now="2026-01-01", required_outcomes=["o0", "o9"], required_lanes=["l9"], plugins=[diagnostics.metadata_freshness(), diagnostics.mutations()])
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, id, doc: the benchmark's items as scenario documents, with rubrics, outcome types, lanes and facts of several kinds."""
+    i = F.col("item_id")
+    rubric = F.element_at(F.array(*[F.lit(r) for r in _RUBRICS]), (i % 6 + 1).cast("int"))
+    outcome = F.when(i % 7 == 0, F.lit('"outcomeType":5,')).otherwise(F.concat(F.lit('"outcomeType":" o'), (i % 3).cast("string"), F.lit('",')))
+    lane = F.when(i % 5 == 0, F.lit('"lane":7,')).when(i % 5 == 1, F.lit('"lanes":["l1"," [l2] "],')).otherwise(F.lit('"domainLane":"l1",'))
+    fact = F.when(i % 4 == 0, F.concat(F.lit('"publicFacts":[{"id":"f'), i.cast("string"), F.lit('","observedAt":"2025-01-01","maxAgeDays":30},{"label":"fresh","asOf":"2025-12-30"}],'))).otherwise(F.lit(""))
+    domain = F.when(i % 9 == 0, F.lit('"domainFacts":{"label":"old","asOf":"2024-01-01"}')).otherwise(F.lit('"domainFacts":[]'))
+    doc = F.concat(F.lit('{"input":{"messages":['), F.to_json(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))), F.lit(']},"rubric":'), rubric, F.lit(',"meta":{'), outcome, lane, fact, domain, F.lit("}}"))
+    return t.table(spark, sf_dir, "benchmark").select(i.alias("ord"), i.cast("string").alias("id"), doc.alias("doc"))
+
+
+@query(
+    "audit_findings",
+    f"""WITH e AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS id, id AS ord, norm, grams, len({_TOKENS.format(n='norm')}) AS n FROM {_prompts_sql('benchmark', 'item_id')}), d AS MATERIALIZED {_prompts_sql('documents', 'doc_id')},
+    raw AS (SELECT item_id AS ord, text FROM benchmark),
+    x AS (SELECT DISTINCT e.id, e.ord FROM e JOIN d ON e.norm = d.norm),
+    g AS (SELECT e.id, e.ord, len(e.grams) AS size, unnest(e.grams) AS s FROM e WHERE e.id NOT IN (SELECT id FROM x)), h AS (SELECT id AS training_id, unnest(grams) AS s FROM d),
+    c AS (SELECT id, ord, training_id, count(*) / size AS overlap FROM g JOIN h USING (s) GROUP BY id, ord, training_id, size HAVING count(*) / size >= 0.65),
+    l AS (SELECT id, ord, arg_min(overlap, training_id) AS overlap FROM c GROUP BY id, ord),
+    pg AS (SELECT id, ord, norm, len(grams) AS size, unnest(grams) AS s FROM e),
+    near AS (SELECT p.ord AS oa, q.ord AS ob, p.id AS a, q.id AS b, greatest(count(*) / p.size, count(*) / q.size) AS overlap FROM pg p JOIN pg q ON p.s = q.s AND p.ord < q.ord AND p.norm <> q.norm GROUP BY p.ord, q.ord, p.id, q.id, p.size, q.size HAVING greatest(count(*) / p.size, count(*) / q.size) >= 0.8),
+    f AS (
+      SELECT 0 AS stage, ord AS o1, 0 AS o2, 'outcome-coverage' AS kind, TRUE AS blocks, [id] AS ids, 'scenario is missing meta.outcomeType; publishable benchmark claims require outcome stratification' AS detail FROM e WHERE ord % 7 = 0
+      UNION ALL SELECT 1, k, 0, 'outcome-coverage', TRUE, CAST([] AS VARCHAR[]), concat('required outcome type "', o, '" is not represented') FROM (VALUES (0, 'o0'), (1, 'o9')) v(k, o) WHERE o NOT IN (SELECT concat('o', ord % 3) FROM e WHERE ord % 7 <> 0)
+      UNION ALL SELECT 2, ord, 0, 'lane-coverage', FALSE, [id], 'scenario has no lane metadata in lane, lanes, capabilityLane, capabilityLanes, domainLane, domainLanes' FROM e WHERE ord % 5 = 0
+      UNION ALL SELECT 3, 0, 0, 'lane-coverage', TRUE, CAST([] AS VARCHAR[]), 'required lane "l9" is not represented'
+      UNION ALL SELECT 4, min(ord), 0, 'duplicate-prompt', TRUE, list_sort(list(id)), concat(count(*), ' scenarios share identical prompt text') FROM e GROUP BY norm HAVING count(*) > 1
+      UNION ALL SELECT 5, oa, ob, 'near-duplicate-prompt', FALSE, list_sort([a, b]), concat(a, ' and ', b, ' share ', CAST(floor(overlap * 100 + 0.5) AS BIGINT), '% prompt n-gram overlap') FROM near
+      UNION ALL SELECT 6, ord, 2, 'possible-leakage', TRUE, [id], 'scenario prompt exactly matches a training prompt' FROM x
+      UNION ALL SELECT 6, ord, 2, 'possible-leakage', TRUE, [id], concat('scenario prompt shares ', CAST(floor(overlap * 100 + 0.5) AS BIGINT), '% 5-gram overlap with a training prompt') FROM l
+      UNION ALL SELECT 7, ord, 0, 'ambiguous-prompt', FALSE, [id], CASE WHEN n = 0 THEN 'prompt is empty' WHEN n < 6 THEN concat('prompt has only ', n, ' substantive tokens; expected task context may be underspecified')
+        WHEN regexp_matches(text, '(?i)\\b(?:todo|tbd|fixme|placeholder|lorem ipsum)\\b') THEN 'prompt contains unresolved draft markers' ELSE 'prompt contains unresolved template placeholders' END FROM e JOIN raw USING (ord)
+        WHERE n < 6 OR regexp_matches(text, '(?i)\\b(?:todo|tbd|fixme|placeholder|lorem ipsum)\\b') OR regexp_matches(text, '(?i)\\{{\\{{[^}}]+\\}}\\}}|\\{{[a-z0-9_.-]+\\}}|<[^>\\s]+>')
+      UNION ALL SELECT 7, ord, 1, 'weak-rubric', TRUE, [id], 'contains checker is sign-blind and anti-bingo-capped; use keyword or mechanism scoring for claims' FROM e WHERE ord % 6 = 1
+      UNION ALL SELECT 7, ord, 2, 'unverifiable-expected-outcome', TRUE, [id], CASE ord % 6 WHEN 2 THEN 'exact-match checker has no non-empty params.expected value' ELSE 'llm-judge rubric has no reference answer for independent verification' END FROM e WHERE ord % 6 IN (2, 3)
+      UNION ALL SELECT 7, ord, 3, 'conflicting-rubric-gates', TRUE, [id], 'rubric both requires and forbids: a b' FROM e WHERE ord % 6 = 4
+      UNION ALL SELECT 7, ord, 4, 'rubric-ambiguity', FALSE, [id], CASE ord % 6 WHEN 0 THEN 'keyword checker uses one-token expected terms that are easy to satisfy accidentally' WHEN 3 THEN 'llm-judge prompt does not interpolate the candidate response with {{response}}'
+        ELSE 'human rubric instructions are too short to support consistent adjudication' END FROM e WHERE ord % 6 IN (0, 3, 5)
+      UNION ALL SELECT 7, ord, 10, 'stale-public-fact', FALSE, [id], concat('public fact "f', ord, '" is 365 days old, above the 30-day freshness window') FROM e WHERE ord % 4 = 0
+      UNION ALL SELECT 8, ord, 0, 'stale-domain-fact', FALSE, [id], 'domain fact "old" is 731 days old, above the 90-day freshness window' FROM e WHERE ord % 9 = 0
+      UNION ALL SELECT 8, 1099511627776 + ord, 0, 'adversarial-mutation-probe', FALSE, [id], 'generic-adversarial-mutations generated 3 adversarial mutation probes' FROM e
+    )
+    SELECT concat('D', lpad(CAST(row_number() OVER (ORDER BY stage, o1, o2, ids, detail) AS VARCHAR), 3, '0')) AS finding_id, kind, CASE WHEN blocks THEN 'claim-blocking' ELSE 'advisory' END AS severity, ids, detail FROM f""",
+)
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = _evaluation(spark, sf_dir)
-    return audit.audit(prompts, _prompts(spark, sf_dir)).select("finding_id", "kind", "severity", "blocking", "ids", "message")
+    """All stages of the audit over the benchmark's items, with the documents as training texts."""
+    return diagnostics.audit_set(_scenarios(spark, sf_dir), AUDIT, training=_prompts(spark, sf_dir)).select("finding_id", "kind", "severity", "ids", "detail")
 
 
 @query("token_ngrams", f"SELECT id, len(grams) AS n_grams, md5(array_to_string(list_sort(grams), '|')) AS digest FROM {_prompts_sql('benchmark', 'item_id')}")
