@@ -6,14 +6,16 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import re
 import sys
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .operators import aggregate, audit, compare, export, gates, human, identity, persistence, proof, scoring
+from .operators import aggregate, audit, compare, diagnostics, export, gates, human, identity, persistence, proof, rubrics, scoring
 from .session import local_session
 from .sources import datasets, sinks
 
@@ -41,6 +43,12 @@ def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _named(spec: str):
+    """module:name as the object that it names."""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _list(a, spark) -> None:
     data = datasets.load_dataset(a.dataset)
     _print({"name": data["name"], "version": data["version"], "scenarios": [{"id": s["id"], "axes": s.get("axes", [])} for s in data["scenarios"]]})
@@ -49,13 +57,21 @@ def _list(a, spark) -> None:
 def _run(a, spark) -> None:
     """Answers by a stub runner, scored and aggregated into a run record."""
     data = datasets.load_dataset(a.dataset)
-    plain = [s for s in data["scenarios"] if s.get("rubric", {}).get("kind") in ("programmatic", "mechanism")]
+    judge = _named(a.judge) if a.judge else None
+    plain = [s for s in data["scenarios"] if s.get("rubric") and s.get("environment") is None and not s.get("multiTurn")]
+    if (others := [s["id"] for s in data["scenarios"] if s not in plain]) and not a.plain_only:
+        raise SystemExit(f"multi-turn and environment scenarios need a model, which run hasn't: {', '.join(others)} (--plain-only leaves them out)")
+    for s in plain:
+        try:
+            rubrics.checked(s["rubric"], judge)
+        except ValueError as e:
+            raise SystemExit(f"{s['id']}: {e}") from e
     table = datasets.scenarios(spark, data).where(F.col("id").isin([s["id"] for s in plain]))
     answers = None
     for kind in a.runner:
         one = table.select(F.lit(f"stub:{kind}").alias("runner_id"), F.col("id").alias("scenario_id"), persistence.stub_response(F.col("messages"), kind).alias("output"))
         answers = one if answers is None else answers.unionByName(one)
-    scores = scoring.score_responses(answers, plain).withColumn("score_ord", F.struct("runner_id", "scenario_id", "axis_ord"))
+    scores = scoring.score_responses(answers, plain, judge).withColumn("score_ord", F.struct("runner_id", "scenario_id", "axis_ord"))
     board = aggregate.leaderboard(scores)
     axes = {}
     for r in _rows(aggregate.axis_summary(scores)):
@@ -88,28 +104,57 @@ def _diagnostics(a, spark) -> None:
     prompts = datasets.scenarios(spark, data).select("id", F.col("scenario_ord").alias("ord"), datasets.prompt(F.col("messages")).alias("prompt"))
     training = datasets.training_prompts(spark, a.training) if a.training else None
     found = audit.audit(prompts, training, near=a.near)
-    _print({"summary": audit.summary(found).first().asDict(), "findings": _rows(found.orderBy("finding_id"))})
+    options = diagnostics.Options(now=a.now, required_outcomes=a.require_outcome, required_lanes=a.require_lane, near=a.near, plugins=diagnostics.load_plugins(a.plugin) if a.plugin else [])
+    docs = datasets.scenario_documents(spark, data)
+    whole = diagnostics.audit_set(docs, options, training)
+    rows = _rows(whole.orderBy(F.length("finding_id"), "finding_id"))
+    if a.report:
+        tally = lambda values: {k: sum(k in v for v in values) for k in sorted({x for v in values for x in v})}
+        outcomes, lanes = tally([[o] if (o := diagnostics.outcome_type(s)) else [] for s in data["scenarios"]]), tally([diagnostics.lanes(s) for s in data["scenarios"]])
+        print(diagnostics.report(data["name"], data["version"], len(data["scenarios"]), outcomes, lanes, rows, [x for x in a.require_outcome if x not in outcomes], [x for x in a.require_lane if x not in lanes]), end="")
+        return
+    _print({"summary": audit.summary(found).first().asDict(), "findings": _rows(found.orderBy("finding_id")), "audit": {"summary": diagnostics.summary(whole).first().asDict(), "findings": rows}})
 
 
 def _validate(a, spark) -> int:
-    bad = gates.record_errors(json.loads(Path(a.record).read_text()))
+    bad = _publish_errors(a, spark)
     _print({"ok": not bad, "errors": bad})
     return int(bool(bad))
 
 
-def _publish(a, spark) -> None:
+def _publish_errors(a, spark) -> list[str]:
+    data = datasets.load_dataset(a.dataset) if a.dataset else None
+    own = identity.scenario_set_hash(spark, data["name"], data["version"], data["scenarios"]) if data else None
+    return gates.publish_errors(json.loads(Path(a.record).read_text()), data, own, a.contract_hash)
+
+
+def _publish(a, spark) -> int | None:
+    if bad := _publish_errors(a, spark):
+        print("not published:\n" + "\n".join(f"  - {e}" for e in bad), file=sys.stderr)
+        return 1
     scores, _ = _tables(spark, a.record)
     print(export.markdown(aggregate.leaderboard(scores), aggregate.axis_summary(scores)))
 
 
 def _export(a, spark) -> None:
-    scores, responses = _tables(spark, a.record)
+    record = datasets.read_record(a.record)
+    scores, responses = datasets.record_tables(spark, record)
     if a.format == "junit":
         print("\n".join(r["suite"] for r in export.junit(scores, threshold=a.threshold).orderBy("runner_id").collect()))
     elif a.format == "annotations":
         print("\n".join(r["command"] for r in export.workflow_annotations(scores, a.threshold).orderBy("ord", "command").collect()))
     elif a.format == "metrics":
         _print(_rows(export.experiment_metrics(scores, aggregate.leaderboard(scores), aggregate.axis_summary(scores))))
+    elif a.format == "spans":
+        _print(_rows(export.spans(export.tasks(scores, responses), record["id"], record["createdAt"]).orderBy("span_id")))
+    elif a.format == "inspect":
+        data = datasets.load_dataset(a.dataset)
+        table = datasets.scenarios(spark, data).select(F.col("id").alias("scenario_id"), datasets.prompt(F.col("messages")).alias("prompt"), F.lit(None).cast("string").alias("tier"), "axes")
+        tiers = spark.createDataFrame([(s["id"], (s.get("meta") or {}).get("tier")) for s in data["scenarios"]], "scenario_id string, t string")
+        samples = export.inspect_samples(table.join(tiers, "scenario_id", "left").withColumn("tier", F.col("t")))
+        _print({"schemaVersion": "inspect-export.v1", "runId": record["id"], "dataset": record["dataset"], "samples": _rows(samples.orderBy("id")), "lossiness": export.base_lossiness(True)})
+    elif a.format == "portable":
+        _print(export.portable(record, _rows(export.tasks(scores, responses).orderBy("runner_id", "scenario_id")), False))
     elif a.format == "summary":
         _print(_rows(export.harness_summary(scores, a.record)))
     else:
@@ -141,6 +186,11 @@ def _human(a, spark) -> int:
     if a.action == "pairs":
         _print(_rows(human.preference_pairs(rows).orderBy("item_id")))
         return 0
+    if a.action == "adjudicate":
+        if not a.decisions:
+            raise SystemExit("adjudicate needs --decisions")
+        _print({"annotations": _rows(human.adjudicate(rows, datasets.decisions(spark, a.decisions)).orderBy("annotation_ord"))})
+        return 0
     errors, conflicts = _rows(human.validate(rows)), _rows(human.conflicts(rows))
     _print({"errors": errors, "conflicts": conflicts})
     return int(bool(errors or conflicts))
@@ -165,15 +215,15 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(*flags.split(), **options)
 
     add("list", _list, ("dataset", {}))
-    add("run", _run, ("dataset", {}), ("--runner", {"action": "append", "choices": ["echo", "empty"]}), ("--id", {"default": "run"}), ("--created", {"default": "1970-01-01T00:00:00Z"}), ("--out", {}))
+    add("run", _run, ("dataset", {}), ("--runner", {"action": "append", "choices": ["echo", "empty"]}), ("--id", {"default": "run"}), ("--judge", {"help": "module:callable from a prompt to value, rationale and provenance"}), ("--plain-only", {"action": "store_true"}), ("--created", {"default": "1970-01-01T00:00:00Z"}), ("--out", {}))
     add("compare", _compare, ("a", {}), ("b", {}), ("--iterations", {"type": int, "default": 1000}), ("--confidence", {"type": float, "default": 0.95}), ("--seed", {"type": float, "default": 1}))
-    add("diagnostics", _diagnostics, ("dataset", {}), ("--training", {}), ("--near", {"type": share, "default": 0.8}))
-    add("validate", _validate, ("record", {}))
-    add("publish", _publish, ("record", {}))
-    add("export", _export, ("record", {}), ("--format", {"choices": ["jsonl", "junit", "annotations", "metrics", "summary"], "default": "jsonl"}), ("--threshold", {"type": share, "default": 1.0}))
+    add("diagnostics", _diagnostics, ("dataset", {}), ("--training", {}), ("--near", {"type": share, "default": 0.8}), ("--now", {"default": datetime.now(UTC).isoformat()}), ("--require-outcome", {"action": "append", "default": []}), ("--require-lane", {"action": "append", "default": []}), ("--plugin", {"action": "append", "default": []}), ("--report", {"action": "store_true"}))
+    add("validate", _validate, ("record", {}), ("--dataset", {}), ("--contract-hash", {}))
+    add("publish", _publish, ("record", {}), ("--dataset", {}), ("--contract-hash", {}))
+    add("export", _export, ("record", {}), ("--format", {"choices": ["jsonl", "junit", "annotations", "metrics", "spans", "inspect", "portable", "summary"], "default": "jsonl"}), ("--threshold", {"type": share, "default": 1.0}), ("--dataset", {}))
     add("proof", _proof, ("action", {"choices": ["build", "verify", "replay"]}), ("record", {}), ("dataset", {}), ("--manifest", {"default": "proof.json"}))
     add("frontier", _frontier, ("proof", {}), ("contract", {}), ("--provider", {"action": "append", "default": []}))
-    add("human", _human, ("action", {"choices": ["validate", "pairs"]}), ("annotations", {}))
+    add("human", _human, ("action", {"choices": ["validate", "pairs", "adjudicate"]}), ("annotations", {}), ("--decisions", {}))
     add("contract", _hash, ("dataset", {}), ("--schema", {"choices": ["v1", "v2"], "default": "v1"}), ("--fingerprint", {"action": "append", "default": []}))
     return p
 

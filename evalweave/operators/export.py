@@ -94,6 +94,49 @@ def experiment_metrics(scores: DataFrame, board: DataFrame, axes: DataFrame) ->
     return a.unionByName(b).unionByName(c)
 
 
+def spans(task_rows: DataFrame, run_id: str, started: str) -> DataFrame:
+    """trace_id, span_id, parent_id, name, start_time, duration_ms, status, attributes: the run, and a span of it for each task.
+
+    task_rows: runner_id, scenario_id, mean_score, latency_ms, and privacy and output_state if scenarios were given.
+    """
+    one = lambda *parts: tx.stable_id(F.concat_ws(":", *parts))
+    run, trace = F.lit(run_id), one(F.lit("trace"), F.lit(run_id))
+    root = one(F.lit("span"), F.lit("run"), run)
+    told = [c for c in ("privacy", "output_state") if c in task_rows.columns]
+    attributes = F.map_from_arrays(F.array(*[F.lit(c) for c in ("runner_id", "scenario_id", *told)]), F.array("runner_id", "scenario_id", *told))
+    tasks_ = task_rows.select(
+        trace.alias("trace_id"), one(F.lit("span"), F.lit("task"), run, F.col("runner_id"), F.col("scenario_id")).alias("span_id"), root.alias("parent_id"), F.lit("task").alias("name"), F.lit(started).alias("start_time"),
+        F.col("latency_ms").cast("double").alias("duration_ms"), F.when(F.col("mean_score").isNull(), "unknown").otherwise("ok").alias("status"), attributes.alias("attributes"),
+    )
+    whole = task_rows.sparkSession.range(1).select(
+        trace.alias("trace_id"), root.alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("run").alias("name"), F.lit(started).alias("start_time"), F.lit(None).cast("double").alias("duration_ms"), F.lit("unknown").alias("status"),
+        F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+    return whole.unionByName(tasks_)
+
+
+WITHHELD = "[REDACTED: private scenario prompt omitted]"
+
+
+def inspect_samples(scenarios: DataFrame) -> DataFrame:
+    """id, input (withheld for private tiers), target (never given), privacy, axes of scenarios (scenario_id, prompt, tier, axes)."""
+    shown = privacy(F.col("tier"))
+    return scenarios.select(F.col("scenario_id").alias("id"), F.when(shown == "public", F.col("prompt")).otherwise(F.lit(WITHHELD)).alias("input"), F.lit(None).cast("string").alias("target"), shown.alias("privacy"), "axes")
+
+
+def base_lossiness(has_dataset: bool) -> list[dict]:
+    """What an export leaves out whatever the run."""
+    out = [{"code": "no-trace-payloads", "detail": "Traces are named, not included."}]
+    return out if has_dataset else [*out, {"code": "no-dataset", "detail": "Without the data set, prompts are missing and their privacy is unknown."}]
+
+
+def portable(record: dict, task_rows: list[dict], has_dataset: bool) -> dict:
+    """A run as one document: its identity, tasks, aggregates, and what was left out."""
+    keep = ("id", "dataset", "createdAt", "runners", "scenarioSetHash", "scenarioSetHashSchemaVersion")
+    run = {k: record[k] for k in keep if record.get(k) is not None} | {"harnessVersion": (record.get("meta") or {}).get("harnessVersion")}
+    return {"schemaVersion": "portable-run.v1", "run": run, "tasks": task_rows, "aggregates": record.get("aggregates", []), "references": record.get("references", []), "lossiness": base_lossiness(has_dataset)}
+
+
 def harness_summary(scores: DataFrame, dataset: str) -> DataFrame:
     """task (dataset:runner), metrics: map of axis to mean."""
     means = scores.groupBy("runner_id", "axis").agg(F.avg("value").alias("m"))

@@ -101,6 +101,98 @@ def record_errors(record: Mapping) -> list[str]:
     return bad
 
 
+def publish_errors(record: Mapping, dataset: Mapping | None = None, dataset_hash: str | None = None, contract_hash: str | None = None) -> list[str]:
+    """Why a record may not be published: its own errors; a data set or contract that it doesn't belong to.
+
+    dataset: name, version, scenarios; dataset_hash: the data set's own v1 hash.
+    A v2 record is held against its metadata, as its hash covers more than the data set.
+    """
+    bad = record_errors(record)
+    own, known = record.get("scenarioSetHash"), record.get("scenarioSetHashSchemaVersion")
+    if known not in (None, "v1", "v2"):
+        bad.append(f"scenarioSetHashSchemaVersion: unknown version {known}")
+    if dataset is not None:
+        said = record.get("dataset") or {}
+        bad += [f"dataset.{k}: {said.get(k)!r} isn't the data set's {dataset[k]!r}" for k in ("name", "version") if said.get(k) != dataset[k]]
+        if known == "v2":
+            bad += hash_metadata_errors(record.get("scenarioSetHashMetadata"), dataset)
+        else:
+            if contract_hash and dataset_hash != contract_hash:
+                bad.append(f"the data set's hash {dataset_hash!r} isn't the contract's {contract_hash!r}")
+            bad += _hash_errors(own, contract_hash or dataset_hash, "the data set's hash")
+    if contract_hash and (dataset is None or known == "v2"):
+        bad += _hash_errors(own, contract_hash, "the contract's hash")
+    return bad
+
+
+def _hash_errors(own: object, expected: str | None, what: str) -> list[str]:
+    if not own:
+        return [f"scenarioSetHash: needed; {what} is {expected!r}"]
+    return [] if own == expected else [f"scenarioSetHash: {own!r} isn't {what} {expected!r}"]
+
+
+def hash_metadata_errors(metadata: object, dataset: Mapping) -> list[str]:
+    """Why the metadata of a v2 hash don't fit a data set."""
+    if not isinstance(metadata, Mapping) or metadata.get("hashSchemaVersion") != "v2":
+        return ["scenarioSetHashMetadata: v2 metadata needed"]
+    said = metadata.get("dataset") or {}
+    bad = [f"scenarioSetHashMetadata.dataset.{k}: {said.get(k)!r} isn't the data set's {dataset[k]!r}" for k in ("name", "version") if said.get(k) != dataset[k]]
+    if metadata.get("scenarioCount") != len(dataset["scenarios"]):
+        bad.append(f"scenarioSetHashMetadata.scenarioCount: {metadata.get('scenarioCount')} isn't {len(dataset['scenarios'])}")
+    return bad
+
+
+def claim_card_errors(card: object, now: str) -> list[str]:
+    """What is wrong with a claim card."""
+    from .diagnostics import moment
+
+    if not isinstance(card, Mapping):
+        return ["a claim card must be an object"]
+    bad: list[str] = []
+
+    def text(x: Mapping, at: str, key: str) -> None:
+        if not isinstance(x.get(key), str) or not x[key].strip():
+            bad.append(f"{at}{key}: text needed")
+
+    for key in ("schemaVersion", "scenarioSetHash"):
+        text(card, "", key)
+    if isinstance(card.get("dataset"), Mapping):
+        for key in ("name", "version"):
+            text(card["dataset"], "dataset.", key)
+    else:
+        bad.append("dataset: object needed")
+    if card.get("hashSchemaVersion") not in ("v1", "v2"):
+        bad.append("hashSchemaVersion: v1 or v2 needed")
+    if card.get("status") not in ("allowed", "blocked"):
+        bad.append("status: allowed or blocked needed")
+    if not isinstance(card.get("leaderboardClaimsAllowed"), bool):
+        bad.append("leaderboardClaimsAllowed: true or false needed")
+    for key in ("generatedAt", "expiresAt"):
+        if card.get(key) is not None and moment(card[key]) is None:
+            bad.append(f"{key}: a date needed")
+    if card.get("expiresAt") is not None and (ends := moment(card["expiresAt"])) is not None and ends <= moment(now):
+        bad.append("expiresAt: the card has expired")
+    for key in ("allowedClaimText", "blocker"):
+        if card.get(key) is not None and not isinstance(card[key], str):
+            bad.append(f"{key}: text needed")
+    for key in ("implementationFingerprints", "scorerFingerprints"):
+        if card.get(key) is None:
+            continue
+        if not isinstance(card[key], list):
+            bad.append(f"{key}: a list needed")
+            continue
+        for i, f in enumerate(card[key]):
+            if not isinstance(f, Mapping) or not isinstance(f.get("id"), str) or not f["id"].strip():
+                bad.append(f"{key}[{i}].id: text needed")
+    for i, cell in enumerate(card.get("providerCells") or []):
+        if not isinstance(cell, Mapping) or not isinstance(cell.get("provider"), str):
+            bad.append(f"providerCells[{i}].provider: text needed")
+    quorum = card.get("quorum")
+    if quorum is not None and (not isinstance(quorum, Mapping) or not all(isinstance(quorum.get(k), int) for k in ("required", "observed") if k in quorum)):
+        bad.append("quorum: numbers needed")
+    return bad
+
+
 def unexpected_keys(x: Mapping, allowed: Mapping, at: str = "$") -> list[str]:
     """Paths of keys that a strict contract doesn't know; allowed nests as the document does, None for anything."""
     out = []

@@ -46,6 +46,25 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({"n_scores": F.coalesce(F.size("scores"), F.lit(0)).cast("long"), "n_notes": F.size("lossiness")}), "mean_score").select("runner_id", "scenario_id", "privacy", "prompt", "output", "output_state", "latency_ms", F.greatest("n_scores", F.lit(0).cast("long")).alias("n_scores"), "mean_score", "n_notes")
 
 
+@query(
+    "experiment_spans",
+    f"""WITH {_TASKS} SELECT 'trace:run-1' AS trace_id, 'span:run:run-1' AS span_id, NULL::VARCHAR AS parent_id, 'run' AS name, NULL::DOUBLE AS duration_ms, 'unknown' AS status, NULL::VARCHAR AS privacy
+    UNION ALL SELECT 'trace:run-1', concat('span:task:run-1:', runner_id, ':', scenario_id), 'span:run:run-1', 'task', r.latency_ms, CASE WHEN s.n IS NULL THEN 'unknown' ELSE 'ok' END, CASE WHEN tier LIKE 'private%' OR tier LIKE 'holdout%' THEN 'private' ELSE 'public' END
+      FROM k LEFT JOIN r USING (runner_id, scenario_id) LEFT JOIN s USING (runner_id, scenario_id) LEFT JOIN scenarios USING (scenario_id)""",
+)
+def experiment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = export.spans(export.tasks(*_task_inputs(spark, sf_dir)), "run-1", "1970-01-01T00:00:00Z")
+    return out.select("trace_id", "span_id", "parent_id", "name", "duration_ms", "status", F.try_element_at("attributes", F.lit("privacy")).alias("privacy"))
+
+
+@query(
+    "inspect_samples",
+    f"""WITH {_TASKS} SELECT scenario_id AS id, CASE WHEN tier = 'public' THEN prompt ELSE '{export.WITHHELD}' END AS input, NULL::VARCHAR AS target, CASE WHEN tier = 'public' THEN 'public' ELSE 'private' END AS privacy, ['x', 'y'] AS axes FROM scenarios""",
+)
+def inspect_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.inspect_samples(_task_inputs(spark, sf_dir)[2].withColumn("axes", F.array(F.lit("x"), F.lit("y"))))
+
+
 _REFS = [("everywhere", None, None), ("of-s3", "s3", None), ("of-r1-s4", "s4", "r1"), ("of-s999", "s999", None)]
 
 

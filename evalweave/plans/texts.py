@@ -296,9 +296,7 @@ _GONE = "WHEN t{i}.conv_id IS NULL THEN 'target-turn-missing' WHEN trim(coalesce
 _EX = "concat(coalesce(t1.u, ''), chr(10), coalesce(t1.a, ''))"
 
 
-@query(
-    "persistence_grades",
-    f"""WITH t AS MATERIALIZED ({_TURNS}), c AS (SELECT DISTINCT conv_id FROM t), j AS (SELECT c.conv_id,
+_GRADES = f"""WITH t AS MATERIALIZED ({_TURNS}), c AS (SELECT DISTINCT conv_id FROM t), j AS (SELECT c.conv_id,
       CASE {_GONE.format(i=2)} WHEN {_p('t2.a', 'the')} THEN 'persisted' ELSE 'forgotten' END AS fact,
       CASE {_GONE.format(i=3)} WHEN {_u('t3.a', 'with the')} THEN 'flipped' WHEN {_u('t3.a', 'of the', 'is')} THEN 'persisted' ELSE 'forgotten' END AS disposition,
       CASE {_GONE.format(i=1)} WHEN NOT {_p("coalesce(t0.a, '')", 'to')} THEN 'establishment-missing' WHEN {_u('t1.a', 'and the')} THEN 'violated' WHEN {_p('t1.a', 'to')} THEN 'persisted' ELSE 'forgotten' END AS cons,
@@ -307,13 +305,15 @@ _EX = "concat(coalesce(t1.u, ''), chr(10), coalesce(t1.a, ''))"
       FROM c {" ".join(f"LEFT JOIN t t{i} ON t{i}.conv_id = c.conv_id AND t{i}.i = {i}" for i in range(4))})
     SELECT conv_id, criterion_id, CASE WHEN reason = 'persisted' THEN 'pass' ELSE 'fail' END AS verdict, reason FROM (
       SELECT conv_id, 'fact' AS criterion_id, fact AS reason FROM j UNION ALL SELECT conv_id, 'disposition', disposition FROM j UNION ALL SELECT conv_id, 'constraint', cons FROM j
-      UNION ALL SELECT conv_id, 'mechanism', mech FROM j UNION ALL SELECT conv_id, 'evidence', ev FROM j)""",
-)
+      UNION ALL SELECT conv_id, 'mechanism', mech FROM j UNION ALL SELECT conv_id, 'evidence', ev FROM j)"""
+
+
+@query("persistence_grades", _GRADES)
 def persistence_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persistence.grade_all(conversations(spark, sf_dir), PERSISTENCE).select("conv_id", "criterion_id", "verdict", "reason")
 
 
-@query("persistence_scores")
+@query("persistence_scores", f"SELECT conv_id, round(avg(CASE WHEN verdict = 'pass' THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS value FROM ({_GRADES}) GROUP BY conv_id")
 def persistence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations(spark, sf_dir)
     return rounded(persistence.scenario_scores(c, persistence.grade_all(c, PERSISTENCE), ["conv_id"]), "value")

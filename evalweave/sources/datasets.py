@@ -142,6 +142,20 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "item_id string, response_id string, label string, score double, reviewer string, scenario_hash string, rubric_version string, annotated_at string, status string, adjudicated_at string, annotation_ord long")
 
 
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Adjudications: a JSON array, alone or under ``decisions``; each needs itemId, responseId, label and adjudicator."""
+    found = read_list(path, "decisions")
+    if bad := [f"decisions[{i}].{k} is missing" for i, d in enumerate(found) for k in ("itemId", "responseId", "label", "adjudicator") if not d.get(k)]:
+        raise GateError(bad)
+    rows = [(d["itemId"], d["responseId"], d["label"], float(d["score"]) if d.get("score") is not None else None, d["adjudicator"], d.get("scenarioHash"), d.get("rubricVersion"), d.get("adjudicatedAt"), i + 1) for i, d in enumerate(found)]
+    return spark.createDataFrame(rows, "item_id string, response_id string, label string, score double, adjudicator string, scenario_hash string, rubric_version string, adjudicated_at string, decision_ord long")
+
+
+def scenario_documents(spark: SparkSession, data: Mapping) -> DataFrame:
+    """ord, id, doc (JSON) of a data set's scenarios."""
+    return spark.createDataFrame([(i, s["id"], json.dumps(s)) for i, s in enumerate(data["scenarios"])], "ord long, id string, doc string")
+
+
 def training_prompts(spark: SparkSession, path: str) -> DataFrame:
     """id, ord, prompt from a JSON array, {prompts: [...]}, or a text of one prompt a line."""
     text = Path(path).read_text()
