@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import UTC, datetime
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, environment, export, gates, human, identity, ledger, proof, scoring
 from ..sources import sinks
+from ..session import shared_dir
 from ..sources import tables as t
 from ..streaming import ledger as streams
 from .catalog import query
@@ -153,18 +153,22 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/evalweave-stream-{uuid.uuid4().hex}"
+
+
 @query("stream_ledger_latest", f"WITH {_LATEST} SELECT * FROM latest")
 def stream_ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _stream(spark, sf_dir).where("not (user_id % 4 = 3 and event_type = 'signup')").select(
         F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("runner_id"), F.col("event_type").alias("scenario_id"), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("completed").alias("status"), F.col("event_id").alias("line_no")
     )
-    return streams.run_to_memory(streams.latest_cells(cells), f"ledger_{uuid.uuid4().hex}", "complete", tempfile.mkdtemp(prefix="evalweave-stream-"))
+    return streams.run_to_table(streams.latest_cells(cells), _folder(spark))
 
 
 @query("stream_windowed_operations", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, concat('r', user_id % 4) AS runner_id, count(*) AS responses, round(avg(value), 7) AS mean_latency, round(avg(CAST(event_type = 'error' AS INT)), 9) AS refusal_rate FROM events GROUP BY 1, 2")
 def stream_windowed_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _stream(spark, sf_dir).select(F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("runner_id"), F.col("ts").cast("timestamp").alias("accessed_at"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("refusal"))
-    out = streams.run_to_memory(streams.windowed_operations(r), f"ops_{uuid.uuid4().hex}", "complete", tempfile.mkdtemp(prefix="evalweave-stream-"))
+    out = streams.run_to_table(streams.windowed_operations(r), _folder(spark))
     return rounded(rounded(out, "refusal_rate"), "mean_latency", places=7)
 
 

@@ -24,11 +24,18 @@ def windowed_operations(responses: DataFrame, window: str = "1 hour", late: str
     return by.agg(F.count(F.lit(1)).alias("responses"), F.avg("latency_ms").alias("mean_latency"), F.avg(F.col("refusal").cast("int")).alias("refusal_rate")).select(F.col("w.start").alias("window_start"), "runner_id", "responses", "mean_latency", "refusal_rate")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs what there is of a stream into a table in memory; for tests and small results."""
-    q: StreamingQuery = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs what there is of an aggregated stream into a table under a shared folder, checkpoint beside it; the table read back."""
+    path = f"{folder}/table"
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)  # each batch has the whole result, so one that comes again does no harm
+
+    q: StreamingQuery = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def merge_into(cells: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
