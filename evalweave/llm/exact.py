@@ -88,17 +88,21 @@ class QuotientFilter:
         return cls(drop, qbits, prefix, occupied, ends, wide.view("<u8").reshape(n).astype(np.uint64), counts)
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        keys = np.concatenate([self.keys(), other.keys()])
-        return self.of_sorted(*_counted(keys, np.concatenate([self.counts, other.counts])), self.drop)
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+        """Both filters' fingerprints in order, without sorting them again: the smaller one's go to their places among the other's, or add to their counts."""
+        large, small = (self, other) if len(self.remainders) >= len(other.remainders) else (other, self)
+        a, b = large.keys(), small.keys()
+        at = np.searchsorted(a, b)
+        same = a[np.minimum(at, len(a) - 1)] == b
+        counts = large.counts.copy()
+        counts[at[same]] += small.counts[same]
+        new = np.flatnonzero(~same)
+        place = at[new] + np.arange(len(new))
+        old = np.ones(len(a) + len(new), dtype=bool)
+        old[place] = False
+        keys, sums = np.empty(len(old), np.uint64), np.empty(len(old), np.int64)
+        keys[place], sums[place] = b[new], small.counts[new]
+        keys[old], sums[old] = a, counts
+        return self.of_sorted(keys, sums, self.drop)
 
 
 def _build(drop: int):
