@@ -10,7 +10,8 @@ as fit.
 A token is a run of characters other than ASCII white space. Cases: a null or
 blank text has no tokens and is never taken; a null source is a source of its
 own; sources without tokens take no part; rows that repeat a doc_id are separate
-documents, ordered by doc_id, tokens and text; an empty table gives an empty
+documents, ordered by doc_id, tokens and text; without a doc_id a document's key
+is its text's; an empty table gives an empty
 result; further columns pass through ``mix_documents`` whatever their names.
 """
 
@@ -37,7 +38,8 @@ _TOKEN = r"[^ \t\n\x0B\f\r]+"
 
 
 def _key() -> Column:
-    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """Hash of the doc_id; of the text where there is none, so that such documents spread over the parts too."""
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5("text")), F.lit("null"))))
 
 
 def _weight(weights: Mapping[str, int], source: Column) -> Column:
@@ -147,7 +149,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = f"""
 WITH keyed AS (
-  SELECT doc_id, source, md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS k,
+  SELECT doc_id, source, md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), concat('null:', md5(text)), 'null'))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) AS BIGINT) AS n_tokens, md5(text) AS th
   FROM documents
 ), filled AS (SELECT * FROM keyed WHERE n_tokens > 0),
