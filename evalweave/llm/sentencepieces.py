@@ -40,6 +40,11 @@ PART_BYTES = 1 << 20
 #: Words kept from part to part; when there are more, the later half is forgotten.
 KEEP_WORDS = 1 << 17
 
+#: Characters of a word from which on it is encoded by itself: few words share such a length, and its own substrings fill the arrays.
+LONG_WORD = 256
+#: Answers about pairs of pieces that are kept for long words.
+_MOST_PAIRS = 1 << 18
+
 HEAD_BITS = 20
 #: Slots of the table of answers about pairs of pieces; it is overwritten, not grown.
 PAIR_BITS = 18
@@ -98,6 +103,7 @@ class Pieces:
             raise ValueError("two pieces have the same hash")
         self.heads = np.zeros(1 << HEAD_BITS, dtype=bool)
         self.heads[(self.keys >> np.uint64(64 - HEAD_BITS)).astype(np.int64)] = True
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
         self.longest = int(self.rank_len.max(initial=1))
         self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]), dtype=np.uint64)
@@ -234,6 +240,56 @@ class Pieces:
             return flat.astype(np.int32), np.bincount(np.repeat(word, size), minlength=n)
         return ids.astype(np.int32), np.bincount(word, minlength=n)
 
+    def _encode_long(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of one long word (a text without spaces): all its substrings are probed at once, width by width, and the back pointers follow one by one."""
+        length = len(codes)
+        at = np.searchsorted(self.char_codes, codes)
+        at[at == len(self.char_codes)] = 0
+        lone = np.where(self.char_codes[at] == codes, self.char_rank[at], -1)
+        power = np.full(length + 1, _BASE, dtype=np.uint64)
+        inverse = np.full(length + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
+        power[0] = inverse[0] = 1
+        power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+        prefix = np.zeros(length + 1, dtype=np.uint64)
+        prefix[1:] = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * inverse[1:]) * power[1:]
+        ends, widths, ranks = [np.arange(1, length + 1)], [np.ones(length, np.int64)], [lone]
+        for width in range(2, min(length, self.longest) + 1):
+            rank = self.probe(prefix[width:] - prefix[:-width] * self.power[width])
+            hit = np.flatnonzero(rank >= 0)
+            hit = hit[self.rank_len[rank[hit]] == width]
+            ends.append(hit + width)
+            widths.append(np.full(len(hit), width))
+            ranks.append(rank[hit])
+        end, width, rank = (np.concatenate(x) for x in (ends, widths, ranks))
+        order = np.lexsort((width, end))
+        end, width, rank = end[order].tolist(), width[order].tolist(), rank[order].tolist()
+        last, back = [-2] * (length + 1), [0] * (length + 1)
+        done = 0
+        for i, w, r in zip(end, width, rank, strict=True):
+            # Exactly one piece may end at a place.
+            if i > done and (i == w or self._may_follow_one(last[i - w], r)):
+                last[i], back[i], done = r, i - w, i
+        out = []
+        i = length
+        while i:
+            out.append((last[i], i))
+            i = back[i]
+        out.reverse()
+        flat: list[int] = []
+        for r, i in out:
+            flat += [int(self.rank_id[r])] if r >= 0 else self.byte_id[np.frombuffer(chr(int(codes[i - 1])).encode("utf-8", "surrogatepass"), dtype=np.uint8)].tolist()
+        return np.array(flat, dtype=np.int32)
+
+    def _may_follow_one(self, first: int, second: int) -> bool:
+        if first < 0 or second < 0:
+            return True
+        pair = (first, second)
+        if pair not in self.pairs:
+            if len(self.pairs) >= _MOST_PAIRS:
+                self.pairs.clear()
+            self.pairs[pair] = bool(self._boundary(np.array([first]), np.array([second]))[0])
+        return self.pairs[pair]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and for each word where its ids begin and how many there are. A word may begin with several marks."""
         n = len(words)
@@ -251,7 +307,10 @@ class Pieces:
         spaced = [k for k, w in enumerate(words) if w.startswith(double) or w == MARK]
         length = np.fromiter(map(len, words), dtype=np.int64, count=n)
         length[spaced] = 0
-        for size_of in np.unique(length[length > 0]):
+        for k in np.flatnonzero(length > LONG_WORD):
+            ids = self._encode_long(np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64))
+            place(np.array([k]), ids, np.array([len(ids)]))
+        for size_of in np.unique(length[(length > 0) & (length <= LONG_WORD)]):
             group = np.flatnonzero(length == size_of)
             step = max(1, (1 << 21) // (int(size_of) * 8))
             for lo in range(0, len(group), step):
@@ -266,8 +325,8 @@ class Pieces:
                 ids = self._space_ids(runs)
             else:
                 # The last mark joins the word if BPE has it so; else all marks stand together.
-                codes = np.array([[ord(c) for c in w[runs - 1 :]]], dtype=np.int64)
-                body, _ = self._encode_equal(codes)
+                codes = np.array([ord(c) for c in w[runs - 1 :]], dtype=np.int64)
+                body = self._encode_equal(codes[None])[0] if len(codes) <= LONG_WORD else self._encode_long(codes)
                 alone = body[0] == mark
                 ids = np.concatenate([self._space_ids(runs - (not alone)), body[1:] if alone else body])
             place(np.array([k]), ids, np.array([len(ids)]))

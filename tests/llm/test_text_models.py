@@ -6,6 +6,7 @@ import collections
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import oracle
@@ -228,6 +229,18 @@ def test_hard_texts(encoder, library, text):
     assert _encoded(encoder, [text]) == [library.encode(text)]
 
 
+def test_long_words(encoder, library):
+    """Texts without spaces, of all kinds, as the library has them; a megabyte in seconds."""
+    rng = np.random.default_rng(6)
+    for alphabet in ("ab", "aeinorst", "ACGT", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "日本語のテキスト", "é😀x"):
+        for n in (257, 1000, 3000):
+            text = "".join(rng.choice(list(alphabet), n))
+            assert _encoded(encoder, [text, "   " + text]) == [library.encode(text), library.encode("   " + text)]
+    began = time.time()
+    flat, _ = encoder.encode(["".join(rng.choice(list("abcdefghijklmnop0123456789"), 200_000))])
+    assert len(flat) and time.time() - began < 60
+
+
 def test_op5(docs, library):
     for r in sentencepieces.encode_documents(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert r["token_ids"] == library.encode(r["text"]) and r["decoded"] == r["text"] and r["n_tokens"] == len(r["token_ids"])
