@@ -22,6 +22,13 @@ def test_op3(spark, sf_dir):
     assert oracle.difference(quality.op3_quality_rules(spark, sf_dir), quality.OP3_SQL, sf_dir) == ""
 
 
+def test_op3_where_cutoffs_bite(spark):
+    """At sf0.1 there are labels enough for cutoffs, and rows are rejected."""
+    sf_dir = "/root/testdata/sf0.1"
+    assert oracle.difference(quality.op3_quality_rules(spark, sf_dir), quality.OP3_SQL, sf_dir) == ""
+    assert quality.op3_quality_rules(spark, sf_dir).where("not keep").count() > 500
+
+
 def test_cutoffs_by_brute_force(spark):
     """Rules that bite: the cutoffs against a search over all of them, and the promise on the labelled rows."""
     rng = np.random.default_rng(3)
