@@ -8,6 +8,8 @@ return, space); texts are never cut short.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
@@ -144,6 +147,13 @@ def range_sum(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Returns memory that a worker's allocators keep to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def list_column(values: np.ndarray, row_at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), pa.array(values, kind))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read
-from .kernels import SPACE, Slice, slices
+from .kernels import SPACE, Slice, give_back, slices
 
 #: Labelled rows a language that the classifiers are fitted on, at most.
 SAMPLE_ROWS = 300
@@ -202,6 +202,7 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
                 best, _, gap, _ = m.decode(batch.column(at))
                 batch = batch.filter(pa.array((best >= 0) & (gap >= m.least_gap)))
             yield batch
+        give_back()
 
     # Columns go by number while they pass through Python, so that any name will do.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

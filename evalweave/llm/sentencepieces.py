@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .kernels import give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -436,6 +437,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 valid = np.packbits(~null, bitorder="little") if null.any() else None
                 text = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)), pa.py_buffer(valid) if valid is not None else None, int(null.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, mask=null), ids, text], names=["doc_id", "n_tokens", "token_ids", "decoded"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded string")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .common import fresh, materialise, quoted, read, remove, sized, written
-from .kernels import mix, slices, words
+from .kernels import give_back, mix, slices, words
 
 NBITS = 128
 RADIUS = 24
@@ -309,6 +309,7 @@ def _pairs_in_buckets(radius: int):
                 if sum(len(x[0]) for x in held) >= 20_000:
                     yield from flush(False)
         yield from flush(True)
+        give_back()
 
     return run
 
@@ -340,6 +341,7 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(has)
         take = pa.array(at)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(fp[at, 0].view(np.int64)), pa.array(fp[at, 1].view(np.int64))], names=["doc_id", "th", "hi", "lo"])
+    give_back()
 
 
 def components(links: DataFrame) -> DataFrame:
