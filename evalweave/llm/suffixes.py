@@ -13,6 +13,13 @@ text), for no interval below the others can be left-maximal. Both are asked for
 by chunks of texts (see exchange). Suffixes go to their parts by the least run in
 their head, so that those of one text that overlap travel together and compress.
 
+Suffixes inside a run (words with a period under MIN_WORDS) are all there, but
+short: words with a period come as the number of words that go on with it, in
+levels, for what is known of a suffix may have other periods first. Suffixes
+sorted by these numbers stand together as their common prefixes need it, and the
+lengths of those follow from the numbers. What comes after a run goes only with
+positions that go on as long as some run from its begin.
+
 The scan keeps the open intervals of the enhanced suffix array on a stack: it
 closes those deeper than the common prefix of the next suffix, and gives each
 closed one whose left extensions differ, with all its occurrences.
@@ -20,15 +27,10 @@ closed one whose left extensions differ, with all its occurrences.
 A word is a run of bytes other than ASCII white space; words are compared by
 their bytes, white space between them isn't. Cases: null, empty and short texts
 have no repeats; rows that repeat a doc_id and the words of its text are one
-document; of a passage
-that has a period under MIN_WORDS words all through, occurrences inside a longer
-run of that period in one text are given where they don't overlap in their first
-MIN_WORDS words, besides those at the run's ends, which keeps runs of one word
-finite (passages that go on past the end of a run have all their occurrences);
-a null doc_id is a document as any other; doc_id may be of any type (integers
-come back as long); an empty table gives an empty result; further columns are
-not read. A long list of occurrences is spread over several rows of one
-group_id.
+document; a null doc_id is a document as any other; doc_id may be of any type
+(integers come back as long); an empty table gives an empty result; further
+columns are not read. ``repeated_passages`` gives lists, in which the occurrences
+in one run are one item; a long one is spread over several rows of one group_id.
 """
 
 from __future__ import annotations
@@ -89,8 +91,7 @@ def _runs(h: np.ndarray, head: np.ndarray, at: np.ndarray, min_words: int) -> np
     """For positions of a text with words h: at the first one of a run how many words it goes on, inside it as many less than zero, else 0.
 
     A run has one period, under min_words, so that heads in it come again before
-    they end. Inside are positions whose head comes a period before and after,
-    but for every one that is the first not to overlap the last that counts.
+    they end. Inside are positions whose head comes a period before and after.
     """
     rest = np.zeros(len(at), np.int32)
     order = np.lexsort((at, head))
@@ -104,14 +105,61 @@ def _runs(h: np.ndarray, head: np.ndarray, at: np.ndarray, min_words: int) -> np
         begins = (ps[these] == 0) | (h[np.maximum(ps[these] - 1, 0)] != h[ps[these] - 1 + p])
         again = (these > 0) & (gap[np.maximum(these - 1, 0)] == p)
         rest[order[these]] = np.where(begins, goes_on, np.where(again, -goes_on, 0))
-    last_h, last_p = None, 0
-    for i in np.unique(np.concatenate([near, near + 1])):
-        if last_h is None or hs[i] != last_h or ps[i] - last_p >= min_words:
-            last_h, last_p = hs[i], ps[i]
-            rest[order[i]] = max(rest[order[i]], 0)
     return rest
 
 
+def _period(words: list[bytes], under: int) -> int:
+    """The least period of the words that is less than under, or 0."""
+    n, p = len(words), 0
+    while True:
+        try:
+            p = words.index(words[0], p + 1, under)
+        except ValueError:
+            return 0
+        if words[p:] == words[: n - p]:
+            return p
+
+
+class _Extents:
+    """How far periods go on in a text."""
+
+    def __init__(self, parts: list[bytes]):
+        self.parts = parts
+        self.codes: np.ndarray | None = None
+        self.breaks: dict[int, np.ndarray] = {}
+
+    def end(self, at: int, period: int) -> int:
+        """The first position from at on whose word isn't the one a period before."""
+        parts, n = self.parts, len(self.parts)
+        for i in range(at, min(at + 64, n)):
+            if parts[i] != parts[i - period]:
+                return i
+        if period not in self.breaks:
+            if self.codes is None:
+                known: dict[bytes, int] = {}
+                self.codes = np.array([known.setdefault(w, len(known)) for w in parts], np.int64)
+            self.breaks[period] = np.append(np.flatnonzero(self.codes[period:] != self.codes[:-period]) + period, n)
+        return int(self.breaks[period][np.searchsorted(self.breaks[period], at)])
+
+    def levels(self, at: int, min_words: int) -> tuple[bytes, int, int, int]:
+        """How the suffix at a position begins, where that ends, and where its last run ends and with which period (0, 0 without).
+
+        While what is known of it has a period under min_words, a level tells how many
+        words go on with that and the word after them: suffixes that share a level's
+        words but not their number part at the smaller number. By Fine and Wilf a
+        level of 2 * min_words or more is the last.
+        """
+        out, to, run, period = b"", at + min_words, 0, 0
+        while to - at <= 2 * min_words and (p := _period(self.parts[at:to], min_words)):
+            run, period = self.end(to, p), p
+            out += b"\x01" + (run - at).to_bytes(4, "big")
+            if run == len(self.parts):
+                return out, run, run, period
+            out += self.parts[run] + b" "
+            to = run + 1
+        return out + b"\x00", to, run, period
+
+
 class _Texts:
     """The texts of a chunk that count: one of those of the same words, with all their doc_ids if there are several."""
 
@@ -197,12 +245,16 @@ class _Heads:
             if at[p] < at[p + 1] or to[p] < to[p + 1]
         ]
 
-    def starts(self, t: _Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Which positions repeat, and which of them begin suffixes of the array."""
+    def starts(self, t: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which positions repeat, which of them begin suffixes of the array, and which of those matter past the end of their run.
+
+        Inside a run all have the same word before them: past its end only those can
+        be in a left-maximal repeat that go on as long as some run from its begin.
+        """
         repeated, diverse, runs = t.bits(2)[self.place] > 0, t.bits(2, 1)[self.place] > 0, t.bits(2, 2)
-        counts = self.rest >= 0
-        counts[self.told] |= runs[self.run_place] > 0
-        return repeated, repeated & diverse & counts
+        past = self.rest >= 0
+        past[self.told] |= runs[self.run_place] > 0
+        return repeated, repeated & diverse, past
 
 
 def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -286,11 +338,14 @@ def _each_chunk(ask):
 def _suffix_rows(min_words: int, k: int, kind: pa.DataType):
     """The suffixes at the starts, without their first min_words words (which the heads stand for), to where nothing repeats any more.
 
+    Of words with a period come only the numbers (see ``_Extents.levels``), so that
+    the suffixes of a long run are short.
+
     A text that has copies also gives its doc_ids to each part its suffixes go to
     (rows without a head, which come first there).
     """
-    names = ["mark", "head", "check", "suffix", "doc_id", "at", "before", "copy_of", "words", "ids"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), kind, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.list_(kind)]
+    names = ["mark", "head", "check", "suffix", "doc_id", "at", "before", "copy_of", "words", "ids", "run", "step"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), kind, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.list_(kind), pa.string(), pa.int32()]
 
     def out(cols: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
@@ -298,11 +353,11 @@ def _suffix_rows(min_words: int, k: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from of_chunk(_Texts(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_py()))
+                yield from of_chunk(batch.column(0)[i].as_py(), _Texts(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_py()))
 
-    def of_chunk(t: _Texts) -> Iterator[pa.RecordBatch]:
+    def of_chunk(chunk: int, t: _Texts) -> Iterator[pa.RecordBatch]:
         heads = _Heads(t, _Marks(t, min_words, k), min_words, k)
-        repeated, starts = heads.starts(t)
+        repeated, starts, past = heads.starts(t)
         cols: list[list] = [[] for _ in names]
         size = 0
         texts, ids = t.docs.column("text"), t.docs.column("doc_id")
@@ -313,10 +368,12 @@ def _suffix_rows(min_words: int, k: int, kind: pa.DataType):
             a, b = np.searchsorted(heads.row, [r, r + 1])
             mine = np.arange(a, b)[starts[a:b]]
             at, head, mark = (heads.at[mine] - begin).tolist(), heads.head[mine].view(np.int64).tolist(), heads.mark[mine].view(np.int64).tolist()
+            on = past[mine].tolist()
             parts = texts[r].as_py().encode().split()
             copy_of, others = t.copies.get(r, (None, None))
             if others is not None and not (at and at[0] == 0):
                 at.insert(0, 0)
+                on.insert(0, True)
                 head.insert(0, int(whole[begin].view(np.int64)))
                 mark.insert(0, int(mix(g[begin : begin + min_words - k + 1].min(keepdims=True)).view(np.int64)[0]))
             flat = b" ".join(parts) + b" "
@@ -324,16 +381,20 @@ def _suffix_rows(min_words: int, k: int, kind: pa.DataType):
             inside = np.zeros(end - begin + 1, dtype=bool)
             inside[heads.at[a:b][repeated[a:b]] - begin] = True
             gaps = np.flatnonzero(~inside)
-            doc, told = ids[r].as_py(), set()
-            for p, h, m in zip(at, head, mark, strict=True):
-                tail = p + min_words
+            doc, told, extents = ids[r].as_py(), set(), _Extents(parts)
+            for p, h, m, goes_past in zip(at, head, mark, on, strict=True):
+                suffix, tail, end, period = extents.levels(p, min_words)
                 stop = max(tail, int(gaps[np.searchsorted(gaps, p)]) + min_words - 1)
-                suffix = flat[offset[tail] : offset[stop]]
-                check = int.from_bytes(hashlib.blake2b(flat[offset[p] : offset[tail]], digest_size=8).digest(), "little", signed=True)
-                row = (m, h, check, suffix, doc, p, parts[p - 1] if p else None, copy_of, len(parts) if copy_of is not None and not p else None, None)
+                if goes_past:
+                    suffix += flat[offset[tail] : offset[stop]]
+                else:  # the number of words of its last level is the last that counts
+                    suffix = suffix[: -2 - len(parts[end])] if end < len(parts) else suffix
+                check = int.from_bytes(hashlib.blake2b(flat[offset[p] : offset[p + min_words]], digest_size=8).digest(), "little", signed=True)
+                run = f"{chunk}-{r}-{end}-{period}" if period else None
+                row = (m, h, check, suffix, doc, p, parts[p - 1] if p else None, copy_of, len(parts) if copy_of is not None and not p else None, None, run, period)
                 if copy_of is not None and m not in told:
                     told.add(m)
-                    for c, v in zip(cols, (m, None, None, None, None, None, None, copy_of, None, others), strict=True):
+                    for c, v in zip(cols, (m, None, None, None, None, None, None, copy_of, None, others, None, None), strict=True):
                         c.append(v)
                     size += 8 * len(others)
                 for c, v in zip(cols, row, strict=True):
@@ -348,18 +409,35 @@ def _suffix_rows(min_words: int, k: int, kind: pa.DataType):
     return run
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """Whole words that two suffixes (each word with a space after it) begin with in common."""
-    lo, hi = 0, min(len(a), len(b))
+def common_words(a: bytes, b: bytes, begin: int = 0) -> int:
+    """Whole words (each with a space after it) that are in common from begin on, where a and b are the same before."""
+    lo, hi = begin, min(len(a), len(b))
     if a[:hi] == b[:hi]:
-        return a.count(b" ", 0, hi)
+        return a.count(b" ", begin, hi)
     while hi - lo > 1:
         mid = (lo + hi) // 2
         if a[lo:mid] == b[lo:mid]:
             lo = mid
         else:
             hi = mid
-    return a.count(b" ", 0, lo)
+    return a.count(b" ", begin, lo)
+
+
+def common_prefix(a: bytes, b: bytes, shared: int) -> int:
+    """Words that two suffixes begin with in common, by their levels and the words after those; the first ones, shared in number, they don't hold."""
+    i = 0
+    while i < len(a) and i < len(b):
+        if not a[i]:
+            return shared + common_words(a, b, i + 1)
+        one, two = int.from_bytes(a[i + 1 : i + 5], "big"), int.from_bytes(b[i + 1 : i + 5], "big")
+        if one != two:
+            return min(one, two)
+        shared, i = one, i + 5
+        to = a.find(b" ", i) + 1
+        if not to or a[i:to] != b[i:to]:
+            return shared
+        shared, i = shared + 1, to
+    return shared
 
 
 #: Left extensions that differ; the head of a text differs from everything.
@@ -381,7 +459,7 @@ def intervals(suffixes: Iterator[tuple[bytes, object, int | None]], shared: int)
     for i, (suffix, before, copied) in enumerate(suffixes):  # noqa: B007
         left = _DIVERSE if before is None else before
         if previous is not None:
-            depth = shared + common_words(previous, suffix)
+            depth = common_prefix(previous, suffix, shared)
             first, ext = i - 1, left_of_previous
             while stack and stack[-1][0] > depth:
                 d, first, own = stack.pop()
@@ -406,18 +484,42 @@ def intervals(suffixes: Iterator[tuple[bytes, object, int | None]], shared: int)
             yield d, first, i
 
 
-def _groups(min_words: int, kind: pa.DataType):
-    names = ["group_id", "n_words", "n_occurrences", "doc_ids", "word_at"]
+class _Passage:
+    """An interval: its number and words, its first suffix, how many occurrences it has, the suffixes that are in no longer passage, and (for lists) all its runs."""
+
+    __slots__ = ("k", "n", "first", "last", "times", "own", "runs")
+
+    def __init__(self, k: int, n: int, first: int, last: int, inner: list[_Passage], entries: list[tuple]):
+        self.k, self.n, self.first, self.last, self.own, at = k, n, first, last, [], first
+        for p in inner:
+            self.own.extend(range(at, p.first))
+            at = p.last + 1
+        self.own.extend(range(at, last + 1))
+        self.times = sum(p.times for p in inner) + sum(len(entries[i][0]) for i in self.own)
+
+    def gather(self, inner: list[_Passage], entries: list[tuple]) -> None:
+        """By run, or by suffix where there is none: doc_ids, first and last position, period. Takes those of the inner passages."""
+        self.runs = max((p.runs for p in inner), key=len, default={})
+        more = [(key, x) for p in inner if p.runs is not self.runs for key, x in p.runs.items()]
+        more += [(entries[i][2] or i, (entries[i][0], entries[i][1], entries[i][1], entries[i][3])) for i in self.own]
+        for key, (docs, lo, hi, step) in more:
+            _, first, last, _ = self.runs.get(key, (docs, lo, hi, step))
+            self.runs[key] = (docs, min(lo, first), max(hi, last), step)
+
+
+def _groups(min_words: int, kind: pa.DataType, tree: bool):
+    """Passages as trees (each suffix once, with the longest passage it begins) or with lists of all occurrences."""
+    lists = {"group_id": pa.string(), "n_words": pa.int64(), "n_occurrences": pa.int64(), "doc_ids": pa.list_(kind), "word_at": pa.list_(pa.int32()), "step": pa.list_(pa.int32()), "times": pa.list_(pa.int32())}
+    each = {"group_id": pa.string(), "within": pa.string(), "n_words": pa.int64(), "n_occurrences": pa.int64(), "doc_id": kind, "word_at": pa.int32(), "longer": pa.bool_()}
+    fields = each if tree else lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list = []
-        ats: list[int] = []
-        upto: list[int] = []
+        entries: list[tuple] = []
         copies: dict[int, list] = {}
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for row in zip(*(batch.column(i).to_pylist() for i in range(1, 10)), strict=True):
+                for row in zip(*(batch.column(i).to_pylist() for i in range(1, 12)), strict=True):
                     if row[0] is None:
                         copies[row[6]] = row[8]
                     else:
@@ -431,38 +533,61 @@ def _groups(min_words: int, kind: pa.DataType):
             nonlocal waiting
             row = first
             while row is not None and row[:2] == first[:2]:
-                here = [row[3]] if row[6] is None else copies[row[6]]
-                docs.extend(here)
-                ats.extend([row[4]] * len(here))
-                upto.append(len(docs))
+                entries.append(([row[3]] if row[6] is None else copies[row[6]], row[4], row[9], row[10]))
                 yield row[2], row[5], row[7]
                 row = next(source, None)
             waiting = row
 
         out: list[tuple] = []
         size = 0
+
+        def put(p: _Passage, name: str, outer: _Passage | None) -> None:
+            nonlocal size
+            group = f"{name}-{p.k}"
+            if tree:
+                within = f"{name}-{outer.k}" if outer else None
+                shown = [(d, entries[i][1]) for i in p.own for d in entries[i][0]]
+                out.extend((group, within, p.n, p.times, d, at, False) for d, at in shown)
+                if not shown:
+                    out.append((group, within, p.n, p.times, entries[p.first][0][0], entries[p.first][1], True))
+                size += len(shown) + 1
+                return
+            found = [(d, lo, step if hi > lo else 0, (hi - lo) // step + 1 if hi > lo else 1) for docs, lo, hi, step in p.runs.values() for d in docs]
+            for lo in range(0, len(found), ROW_OCCURRENCES):
+                some = found[lo : lo + ROW_OCCURRENCES]
+                out.append((group, p.n, p.times, *map(list, zip(*some, strict=True))))
+                size += len(some)
+
         row = next(source, None)
         while row is not None:
-            docs.clear()
-            ats.clear()
-            upto[:] = [0]
+            entries.clear()
+            name = f"{row[0] & 0xFFFFFFFFFFFFFFFF:016x}{row[1] & 0xFFFFFFFFFFFFFFFF:016x}"
+            open_ones: list[_Passage] = []
             for k, (n, first, last) in enumerate(intervals(of_head(row), min_words)):
-                group = f"{row[0] & 0xFFFFFFFFFFFFFFFF:016x}{row[1] & 0xFFFFFFFFFFFFFFFF:016x}-{k}"
-                begin, end = upto[first], upto[last + 1]
-                for lo in range(begin, end, ROW_OCCURRENCES):
-                    hi = min(end, lo + ROW_OCCURRENCES)
-                    out.append((group, n, end - begin, docs[lo:hi], ats[lo:hi]))
-                    size += hi - lo
+                at = len(open_ones)
+                while at and open_ones[at - 1].first >= first:
+                    at -= 1
+                inner = open_ones[at:]
+                del open_ones[at:]
+                p = _Passage(k, n, first, last, inner, entries)
+                for x in inner if tree else ():
+                    put(x, name, p)
+                if not tree:
+                    p.gather(inner, entries)
+                    put(p, name, None)
+                open_ones.append(p)
                 if size > 100_000:
                     yield _batch(out)
-                    out, size = [], 0
+                    out.clear()
+                    size = 0
+            for x in open_ones if tree else ():
+                put(x, name, None)
             row = waiting
         if out:
             yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(kind)), pa.array(c[4], pa.list_(pa.int32()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), fields.values(), strict=True)], names=list(fields))
 
     return run
 
@@ -482,7 +607,15 @@ def _copies(chunks: DataFrame, buckets: int, kind: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """group_id, n_words, n_occurrences, doc_ids, word_at: the maximal repeats of min_words words or more, each with all its occurrences."""
+    """group_id, n_words, n_occurrences, doc_ids, word_at, step, times: the maximal repeats of min_words words or more, each with all its occurrences.
+
+    Those in one run are one item: the first, how many words the next is on (0 if
+    it is the only one), and how many they are.
+    """
+    return _passages(docs, min_words, chunk_bytes, False)
+
+
+def _passages(docs: DataFrame, min_words: int, chunk_bytes: int, tree: bool) -> DataFrame:
     k = min(ANCHOR_WORDS, max(1, min_words // 2))
     doc_id = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
     texts = docs.where("text is not null").select(doc_id.alias("doc_id"), "text", F.lit(False).alias("held"))
@@ -506,10 +639,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, chunk_bytes:
         asked = with_answers(chunks, answers, buckets).mapInArrow(_each_chunk(ask), BLOBS)
         found, _ = materialise(asked.groupBy("part").applyInArrow(merge, _ANSWERS))
         answers = answers.unionByName(found.select("chunk", F.lit(step).alias("step"), "part", "data", *plain))
-    rows = f"mark long, head long, check long, suffix binary, doc_id {name}, at int, before binary, copy_of long, words int, ids array<{name}>"
+    rows = f"mark long, head long, check long, suffix binary, doc_id {name}, at int, before binary, copy_of long, words int, ids array<{name}>, run string, step int"
     suffixes = with_answers(chunks, answers, buckets).mapInArrow(_suffix_rows(min_words, k, arrow), rows)
     ordered = suffixes.repartition("mark").sortWithinPartitions("head", "check", "suffix", "doc_id", "at")
-    return ordered.mapInArrow(_groups(min_words, arrow), f"group_id string, n_words long, n_occurrences long, doc_ids array<{name}>, word_at array<int>")
+    each = f"group_id string, within string, n_words long, n_occurrences long, doc_id {name}, word_at int, longer boolean"
+    lists = f"group_id string, n_words long, n_occurrences long, doc_ids array<{name}>, word_at array<int>, step array<int>, times array<int>"
+    return ordered.mapInArrow(_groups(min_words, arrow, tree), each if tree else lists)
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,41 @@ def test_repeats_after_runs_by_brute_force(spark, seed):
     assert all(set(v) <= set(want.get(k, v)) for k, v in got.items())
 
 
+def _runs_of_words(seed):
+    """Texts with runs of differing period, length and begin, periods within periods, copies, and passages that go on after runs."""
+    rng = random.Random(seed)
+    roots = [["x"], ["p", "q"], ["r", "r", "s"], ["a", "a", "a", "a", "b"], ["a", "a", "b"], ["a", "b", "c", "d", "e"]]
+    tails = [[f"t{k}{i}" for i in range(9)] for k in range(3)]
+    docs = []
+    for d in range(24):
+        w: list[str] = []
+        for _ in range(rng.randint(1, 3)):
+            root, n = rng.choice(roots), rng.randint(3, 30)
+            shift = rng.randrange(len(root))
+            w += [f"l{rng.randrange(3)}"] * rng.randint(0, 1) + [root[(shift + i) % len(root)] for i in range(n)] + rng.choice(tails)[: rng.choice([0, 2, 9])]
+        docs.append((d, " ".join(w)))
+    return [*docs, (24, docs[5][1]), (25, docs[5][1]), (26, "x " * 40), (27, "x " * 33)]
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_repeats_in_runs_by_brute_force(spark, seed):
+    """Every occurrence of every repeat, those that overlap in a run too."""
+    docs = _runs_of_words(seed)
+    got = set()
+    for r in suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), 6, chunk_bytes=2000).collect():
+        where = [(d, at + step * i) for d, at, step, times in zip(r["doc_ids"], r["word_at"], r["step"], r["times"], strict=True) for i in range(times)]
+        assert r["n_occurrences"] == len(where) == len(set(where))
+        got.add((r["n_words"], tuple(sorted(where))))
+    assert got == _maximal(docs, 6)
+
+
+def test_long_runs(spark):
+    """The repeats of two runs of 20,000 words take two items each, not as many as there are pairs of places."""
+    docs = [(1, "word " * 20_000 + "end"), (2, "word " * 20_000 + "end more")]
+    rows = suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["n_words"]: (r["n_occurrences"], sorted(r["doc_ids"])) for r in rows} == {n: (2 * (20_001 - n), [1, 2]) for n in range(50, 20_000)} | {20_001: (2, [1, 2])}
+
+
 def test_passage_after_runs(spark):
     shared = [f"s{i}" for i in range(500)]
     docs = [(d, " ".join([f"{d}0", *["x"] * n, *shared, f"{d}1"])) for d, n in ((1, 70), (2, 60))]
