@@ -615,6 +615,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, chunk_bytes:
     return _passages(docs, min_words, chunk_bytes, False)
 
 
+def passage_tree(docs: DataFrame, min_words: int = MIN_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """group_id, within, n_words, n_occurrences, doc_id, word_at, longer: the same repeats, with each place in a text only at the longest that begins there.
+
+    A passage has the occurrences of its own rows and of all passages within it. If
+    all of them are in those, it has one row, for one of them, with longer true.
+    """
+    return _passages(docs, min_words, chunk_bytes, True)
+
+
 def _passages(docs: DataFrame, min_words: int, chunk_bytes: int, tree: bool) -> DataFrame:
     k = min(ANCHOR_WORDS, max(1, min_words // 2))
     doc_id = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
@@ -648,4 +657,4 @@ def _passages(docs: DataFrame, min_words: int, chunk_bytes: int, tree: bool) ->
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read(spark, sf_dir, "documents"))
+    return passage_tree(read(spark, sf_dir, "documents"))

@@ -191,6 +191,42 @@ def test_planted_passage(spark, docs):
     assert any(sorted(r["doc_ids"]) == want and r["n_words"] >= 53 for r in suffixes.repeated_passages(some).collect())
 
 
+def _unfolded(rows):
+    """(words, occurrences) of each passage of a tree: those of its rows and of all passages within it."""
+    outer, n_words, where = {}, {}, collections.defaultdict(set)
+    for r in rows:
+        outer[r["group_id"]], n_words[r["group_id"]] = r["within"], r["n_words"]
+    for r in rows:
+        group = r["group_id"]
+        while group and not r["longer"]:
+            where[group].add((r["doc_id"], r["word_at"]))
+            group = outer[group]
+    assert all(r["n_occurrences"] == len(where[r["group_id"]]) for r in rows)
+    assert all((r["doc_id"], r["word_at"]) in where[r["group_id"]] for r in rows)
+    return {(n_words[g], tuple(sorted(w))) for g, w in where.items()}
+
+
+@pytest.mark.parametrize("seed", [5, 8])
+def test_passage_tree_by_brute_force(spark, seed):
+    """A row for each place in a text holds all occurrences of all repeats."""
+    docs = _runs_of_words(seed)
+    rows = suffixes.passage_tree(spark.createDataFrame(docs, "doc_id long, text string"), 6, chunk_bytes=2000).collect()
+    assert _unfolded(rows) == _maximal(docs, 6)
+    own = [(r["doc_id"], r["word_at"]) for r in rows if not r["longer"]]
+    assert len(own) == len(set(own))
+
+
+def test_repeats_by_document(spark, tmp_path):
+    """The query's rows name one document each, by its integer id or null, and where in it."""
+    passage = " ".join(f"p{i}" for i in range(53))
+    rows = [(1, f"a b {passage} c"), (2, f"d {passage} e"), (None, f"{passage} f"), (4, "g h")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffixes.op2_suffix_repeats(spark, str(tmp_path))
+    assert dict(got.dtypes)["doc_id"] == "bigint"
+    assert sorted(((r["doc_id"], r["word_at"]) for r in got.collect()), key=str) == [(1, 2), (2, 1), (None, 0)]
+    assert {(r["n_words"], r["n_occurrences"], r["longer"]) for r in got.collect()} == {(53, 3, False)}
+
+
 def test_repeats_odd(odd, empty):
     rows = suffixes.repeated_passages(odd).collect()
     assert rows and all(set(r["doc_ids"]) <= {6, 7} for r in rows)
