@@ -135,11 +135,8 @@ class Packer:
     def numbers(self, x: np.ndarray) -> Packer:
         """uint64, in the number of bytes that takes least; those that need more stand apart."""
         x = np.ascontiguousarray(x.astype("<u8"))
-        bits = np.zeros(len(x), np.int64)
-        some = np.flatnonzero(x)
-        bits[some] = np.frexp(x[some].astype(np.float64))[1]
-        need = np.bincount((bits + 7) // 8, minlength=9)
-        cost = [len(x) * w + 12 * int(need[w + 1 :].sum()) for w in range(1, 9)]
+        most = int(x.max(initial=0))
+        cost = [len(x) * w + 12 * (int(np.count_nonzero(x >= np.uint64(1 << (8 * w)))) if most >> (8 * w) else 0) for w in range(1, 9)]
         w = 1 + int(np.argmin(cost))
         large = np.flatnonzero(x >= np.uint64(1 << (8 * w))) if w < 8 else np.zeros(0, np.int64)
         planes = x.view(np.uint8).reshape(-1, 8)[:, :w].T

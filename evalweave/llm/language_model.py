@@ -47,6 +47,8 @@ BUCKETS = 48
 ROUNDS = 30
 TOLERANCE = 1e-4
 _SLICE = 4 << 20
+#: Events that are packed together.
+_PACKED = 1 << 18
 
 
 def _held() -> Column:
@@ -141,43 +143,87 @@ def mix(p: np.ndarray, b: np.ndarray, weights: np.ndarray, base: float = 1 / 256
 
     p, b: events x orders, highest order first; weights: orders x BUCKETS; base: the uniform estimate.
     """
-    w = np.where(b >= 0, weights[np.arange(len(weights))[None, :], np.maximum(b, 0)], 0.0)
-    go_on = np.cumprod(np.concatenate([np.ones((len(p), 1)), 1 - w], axis=1), axis=1)
-    stop = go_on[:, :-1] * w * p
-    last = go_on[:, -1] * base
-    total = stop.sum(axis=1) + last
-    stop = stop / total[:, None]
-    after = 1.0 - np.cumsum(stop, axis=1)
+    total, stop = _mixed(list(p.T), list(b.T), weights, base)
+    share = np.stack(stop, axis=1) / total[:, None]
+    after = 1.0 - np.cumsum(share, axis=1)
     reach = np.concatenate([np.ones((len(p), 1)), after[:, :-1]], axis=1)
-    return total, stop, reach
+    return total, share, reach
 
 
-def _expect(weights: np.ndarray, base: float):
+def _mixed(p: list[np.ndarray], b: list[np.ndarray], weights: np.ndarray, base: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Probability of each event, and for each order the part of it that stops there; p, b: an array for each order."""
+    unseen = np.concatenate([weights, np.zeros((len(weights), 1))], axis=1)  # bucket -1 is the last
+    go_on, total, stop = np.ones(len(p[0])), np.zeros(len(p[0])), []
+    for w, q, k in zip(unseen, p, b, strict=True):
+        w = w[k]
+        stop.append(go_on * w * q)
+        total += stop[-1]
+        go_on *= 1 - w
+    total += go_on * base
+    return total, stop
+
+
+Events = tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]
+
+
+def _packed(weight: np.ndarray, p: list[np.ndarray], b: list[np.ndarray]) -> list[bytes]:
+    """Events as bytes, _PACKED at most together: a row each would cost more to move than to weigh, in every round."""
+    out = []
+    for lo in range(0, len(weight), _PACKED):
+        packer = Packer().raw(weight[lo : lo + _PACKED], "<i8")
+        for x, kind in [(x, "<f8") for x in p] + [(x, "i1") for x in b]:
+            packer.raw(x[lo : lo + _PACKED], kind)
+        out.append(packer.done())
+    return out
+
+
+def _of_rows(orders: int) -> Callable[[pa.RecordBatch], Iterator[Events]]:
+    def run(batch: pa.RecordBatch) -> Iterator[Events]:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + 2 * orders)]
+        yield cols[0], cols[1 : 1 + orders], [x.astype(np.int64) for x in cols[1 + orders :]]
+
+    return run
+
+
+def _of_packed(orders: int) -> Callable[[pa.RecordBatch], Iterator[Events]]:
+    def run(batch: pa.RecordBatch) -> Iterator[Events]:
+        for data in batch.column(0):
+            u = Unpacker(data.as_buffer())
+            yield u.raw("<i8"), [u.raw("<f8") for _ in range(orders)], [u.raw("i1").astype(np.int64) for _ in range(orders)]
+
+    return run
+
+
+def _expect(weights: np.ndarray, base: float, events: Callable[[pa.RecordBatch], Iterator[Events]]):
     orders = len(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den, like = np.zeros((orders, BUCKETS)), np.zeros((orders, BUCKETS)), 0.0
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + 2 * orders)]
-            weight = cols[0].astype(float)
-            p, b = np.stack(cols[1 : 1 + orders], axis=1), np.stack(cols[1 + orders :], axis=1).astype(np.int64)
-            total, stop, reach = mix(p, b, weights, base)
+        for weight, p, b in itertools.chain.from_iterable(map(events, batches)):
+            total, stop = _mixed(p, b, weights, base)
+            weight = weight.astype(float)
             like += float((weight * np.log(total)).sum())
+            reach = np.ones(len(weight))
             for k in range(orders):
-                seen = b[:, k] >= 0
-                num[k] += np.bincount(b[seen, k], weight[seen] * stop[seen, k], minlength=BUCKETS)
-                den[k] += np.bincount(b[seen, k], weight[seen] * np.maximum(reach[seen, k], 0.0), minlength=BUCKETS)
+                share = stop[k] / total
+                num[k] += np.bincount(b[k] + 1, weight * share, minlength=BUCKETS + 1)[1:]
+                den[k] += np.bincount(b[k] + 1, weight * np.maximum(reach, 0.0), minlength=BUCKETS + 1)[1:]
+                reach -= share
         k, bucket = np.nonzero(den > 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(bucket, -1)), pa.array(np.append(num[k, bucket], like)), pa.array(np.append(den[k, bucket], 0.0))], names=["k", "bucket", "num", "den"])
 
     return run
 
 
-def learn(events: DataFrame, rounds: int = ROUNDS, base: float = 1 / 256) -> np.ndarray:
-    """Weights (orders x BUCKETS, highest order first) by expectation-maximisation; a bucket without events keeps a half."""
-    weights = np.full(((len(events.columns) - 1) // 2, BUCKETS), 0.5)
+def learn(events: DataFrame, rounds: int = ROUNDS, base: float = 1 / 256, packed: int = 0) -> np.ndarray:
+    """Weights (orders x BUCKETS, highest order first) by expectation-maximisation; a bucket without events keeps a half.
+
+    events: weight, p of each order, b of each order; or, where packed is the number of orders, data (_packed).
+    """
+    orders = packed or (len(events.columns) - 1) // 2
+    weights, opened_ = np.full((orders, BUCKETS), 0.5), (_of_packed if packed else _of_rows)(orders)
     for _ in range(rounds):
-        rows = events.mapInArrow(_expect(weights, base), "k long, bucket long, num double, den double").groupBy("k", "bucket").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect()
+        rows = events.mapInArrow(_expect(weights, base, opened_), "k long, bucket long, num double, den double").groupBy("k", "bucket").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect()
         new = weights.copy()
         for r in rows:
             if r["k"] >= 0 and r["den"] > 0:
@@ -278,9 +324,31 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.ndarray |
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, and for each value its place among them."""
-    order = np.argsort(x, kind="stable")
-    y = x[order]
+    """The distinct values (uint64), ascending, and for each value its place among them.
+
+    A value and its index are sorted as one number, several times as fast as indices
+    by values; where both don't fit 64 bits, values that differ only in what is left
+    out are put in order afterwards.
+    """
+    if not len(x):
+        return x, np.zeros(0, dtype=np.int64)
+    low, bits = x.min(), np.uint64((len(x) - 1).bit_length())
+    out = np.uint64(max(0, int(x.max() - low).bit_length() + int(bits) - 64))
+    both = x - low
+    both >>= out
+    both <<= bits
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    if out:
+        y = x[order]
+        if (y[1:] < y[:-1]).any():
+            again = np.argsort(y, kind="stable")
+            order, y = order[again], y[again]
+    else:
+        both >>= bits
+        both += low
+        y = both
     new = np.ones(len(x), dtype=bool)
     new[1:] = y[1:] != y[:-1]
     place = np.empty(len(x), dtype=np.int64)
@@ -398,7 +466,7 @@ class _Grams:
         self.pairs, place = _distinct(codes)
         self.pair = place[:-1]
         self.context = np.where(v.head, place[-1], np.concatenate([[0], self.pair])[: len(v.word)])
-        self.triples, self.triple = _distinct((self.context.astype(np.uint64) << np.uint64(32)) | self.number)
+        self.triples, self.triple = _distinct((self.context.astype(np.uint64) << np.uint64(model.bits)) | self.number)
 
     @staticmethod
     def _read(answers: pa.Table, step: int) -> Iterator[tuple[int, Unpacker]]:
@@ -409,15 +477,15 @@ class _Grams:
     def ask(self) -> list[tuple[int, bytes]]:
         n = np.bincount(self.pair, minlength=len(self.pairs)) if len(self.pairs) else self.pairs
         m = np.bincount(self.triple, minlength=len(self.triples)) if len(self.pairs) else self.pairs
-        context = (self.triples >> np.uint64(32)).astype(np.int64)
+        context = (self.triples >> np.uint64(self.model.bits)).astype(np.int64)
         after = np.bincount(context, minlength=len(self.pairs))
         at = bounds(self.pairs, self.model.parts, 2 * self.model.bits)
         to = np.searchsorted(context, at)
-        last = self.triples & np.uint64(0xFFFFFFFF)
+        last = self.triples & np.uint64((1 << self.model.bits) - 1)
         return [(p, Packer().keys(self.pairs[a:b]).numbers(n[a:b]).numbers(after[a:b]).numbers(last[to[p] : to[p + 1]]).numbers(m[to[p] : to[p + 1]]).done()) for p, (a, b) in enumerate(itertools.pairwise(at.tolist())) if a < b]
 
-    def estimates(self, answers: pa.Table, kept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each distinct triple, of all documents or only of those that aren't held out: estimates p, contexts' buckets b (triples x orders); a place where it comes; how often it comes."""
+    def estimates(self, answers: pa.Table, kept: bool) -> Events:
+        """For each distinct triple, of all documents or only of those that aren't held out: how often it comes; for each order its estimates p and its contexts' buckets b."""
         counts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for _, u in self._read(answers, 2):
             for k in range(6 if self.held else 3):
@@ -429,9 +497,9 @@ class _Grams:
         total = self.model.kept if kept else self.model.tokens
         tops = (triple_n, pair_n[self.pair[at]], word_n[self.v.word[at]])
         contexts = (pair_cn[self.context[at]], word_cn[self.v.before[at]], np.full(len(at), total))
-        p = np.stack([np.where(c > 0, n / np.maximum(c, 1), 0.0) for n, c in zip(tops, contexts, strict=True)], axis=1)
-        b = np.stack([np.frexp(c.astype(np.float64))[1] - 1 for c in contexts], axis=1)
-        return p, b, at, np.bincount(self.triple, minlength=len(at))
+        p = [np.where(c > 0, n / np.maximum(c, 1), 0.0) for n, c in zip(tops, contexts, strict=True)]
+        b = [np.frexp(c.astype(np.float64))[1] - 1 for c in contexts]
+        return np.bincount(self.triple, minlength=len(at)), p, b
 
 
 def _merge_grams(table: pa.Table) -> pa.Table:
@@ -441,8 +509,10 @@ def _merge_grams(table: pa.Table) -> pa.Table:
     size, more = [len(x) for x in keys], [len(x) for x in last]
     distinct, place = _distinct(np.concatenate(keys))
     context = np.repeat(place, np.concatenate(after)).astype(np.uint64)
-    triples, where = _distinct((context << np.uint64(32)) | np.concatenate(last).astype(np.uint64))
-    of = (triples >> np.uint64(32)).astype(np.int64)
+    number = np.concatenate(last).astype(np.uint64)
+    bits = np.uint64(int(number.max(initial=0)).bit_length())
+    triples, where = _distinct((context << bits) | number)
+    of = (triples >> bits).astype(np.int64)
     every = []
     for free in (False, True):
         pair_f, triple_f = (np.repeat([not free or c % 2 == 0 for c in chunks], x) for x in (size, more))
@@ -488,13 +558,12 @@ def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.nda
 
         def events(docs: pa.Table, answers: pa.Table) -> pa.Table:
             g = _Grams(opened(docs.column("data")[0]), answers, model, True)
-            p, b, _, n = g.estimates(answers, True) if len(g.triples) else (np.zeros((0, 3)), np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64))
-            return pa.table({"weight": n.astype(np.int64)} | {f"p{3 - k}": p[:, k] for k in range(3)} | {f"b{3 - k}": b[:, k].astype(np.int32) for k in range(3)})
+            return pa.table({"data": pa.array(_packed(*g.estimates(answers, True)) if len(g.triples) else [], pa.binary())})
 
         odd = "chunk % 2 = 1"
-        heldout = chunks.where(odd).groupBy("chunk").cogroup(answers.where(odd).groupBy("chunk")).applyInArrow(events, "weight long, p3 double, p2 double, p1 double, b3 int, b2 int, b1 int")
+        heldout = chunks.where(odd).groupBy("chunk").cogroup(answers.where(odd).groupBy("chunk")).applyInArrow(events, "data binary")
         table, _, path = written(heldout)
-        weights = learn(table, ROUNDS, base)
+        weights = learn(table, ROUNDS, base, 3)
         remove(docs.sparkSession, path)
     found = weights
 
@@ -503,8 +572,8 @@ def score_words(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weights: np.nda
         g = _Grams(texts, answers, model, chunk % 2 == 1)
         total = np.zeros(texts.num_rows)
         if len(g.triples):
-            p, b, _, _ = g.estimates(answers, False)
-            each = np.log(mix(p, np.minimum(b, BUCKETS - 1), found, base)[0])[g.triple]
+            _, p, b = g.estimates(answers, False)
+            each = np.log(_mixed(p, [np.minimum(x, BUCKETS - 1) for x in b], found, base)[0])[g.triple]
             full = np.flatnonzero(np.diff(g.v.row_at))
             total[full] = np.add.reduceat(each, g.v.row_at[full])
         length = np.asarray(pc.fill_null(pc.binary_length(texts.column("text")), 0)).astype(np.int64)

@@ -106,6 +106,31 @@ def test_lm_learns(spark):
     assert seen == sorted(seen) and seen[-1] > seen[0]
 
 
+def test_packed_events(spark, monkeypatch):
+    """Events that travel packed, many to a row, teach the same weights as a row each."""
+    monkeypatch.setattr(language_model, "_PACKED", 300)
+    rng = np.random.default_rng(2)
+    weight, p, b = rng.integers(1, 5, 1000), rng.random((3, 1000)), rng.integers(-1, 40, (3, 1000))
+    p[b < 0] = 0
+    packed = language_model._packed(weight, list(p), list(b))
+    assert len(packed) == 4
+    names = ["weight", *[f"p{k}" for k in (3, 2, 1)], *[f"b{k}" for k in (3, 2, 1)]]
+    rows = spark.createDataFrame([(int(w), *map(float, x), *map(int, y)) for w, x, y in zip(weight, p.T, b.T, strict=True)], ", ".join(f"{n} {'double' if n[0] == 'p' else 'int'}" for n in names))
+    expected = language_model.learn(rows, 5, 1e-3)
+    assert np.allclose(language_model.learn(spark.createDataFrame([(x,) for x in packed], "data binary"), 5, 1e-3, 3), expected, rtol=1e-9)
+    assert (expected != 0.5).any()
+
+
+def test_distinct_by_numpy():
+    """Also values of which the lowest bits don't fit beside the indices, and differ only there."""
+    rng = np.random.default_rng(3)
+    near = (rng.integers(0, 30, 5000).astype(np.uint64) << np.uint64(59)) | rng.integers(0, 8, 5000).astype(np.uint64)
+    for x in (near, near >> np.uint64(50), rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.full(3, 2**64 - 1, np.uint64), np.array([2**64 - 1, 0, 0], np.uint64), near[:1], near[:0]):
+        values, place = language_model._distinct(x.copy())
+        expected, inverse = np.unique(x, return_inverse=True)
+        assert values.dtype == np.uint64 and values.tolist() == expected.tolist() and place.tolist() == inverse.tolist()
+
+
 def test_word_model_by_brute_force(spark, docs, odd, empty):
     """Word trigrams, in several chunks; the query itself depends on word order; odd tables."""
     few = docs.where("doc_id < 25")
