@@ -2,10 +2,11 @@
 
 The model is a SentencePiece BPE vocabulary with byte fallback. A text is cut
 where no piece can cross (before each word mark, around characters that no piece
-holds); the distinct words of a batch are encoded once, all words of a length
-together. At every position of the words, each substring that ends there is
-hashed and looked for among the sorted piece keys, and the best candidate's
-start is stored as a back pointer.
+holds); the distinct words of a batch are encoded once, all words together,
+longest first, so that those that reach a position stand in front. At every
+position of the words, each substring that ends there is hashed and looked for
+among the sorted piece keys, and the best candidate's start is stored as a back
+pointer.
 
 A Viterbi path of greatest summed score isn't what a BPE model encodes to, so
 the lattice has the one constraint that makes it so: a piece may follow another
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,9 @@ LONG_WORD = 256
 #: Answers about pairs of pieces that are kept for long words.
 _MOST_PAIRS = 1 << 18
 
+#: Characters of words that are encoded together.
+_TOGETHER = 1 << 18
+
 HEAD_BITS = 20
 #: Slots of the table of answers about pairs of pieces; it is overwritten, not grown.
 PAIR_BITS = 18
@@ -184,46 +189,50 @@ class Pieces:
             a, b, at, limit = turn_a[go], turn_b[go], at[go], limit[go]
         return ok
 
-    def _encode_equal(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """codes: n x L characters of n words of one length. Flat ids, and the number of ids of each word."""
-        n, length = codes.shape
+    def _encode_together(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """codes: the characters of all words, one word after the other; lengths: descending. Flat ids, and the number of ids of each word."""
+        n, longest = len(lengths), int(lengths[0])
         at = np.searchsorted(self.char_codes, codes)
         at[at == len(self.char_codes)] = 0
         char_rank = np.where(self.char_codes[at] == codes, self.char_rank[at], -1)
-        prefix = np.zeros((length + 1, n), dtype=np.uint64)
-        for i in range(length):
-            prefix[i + 1] = prefix[i] * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
-        last = np.full((length + 1, n), -2, dtype=np.int64)
-        back = np.zeros((length + 1, n), dtype=np.int64)
-        every, least = np.arange(n), np.iinfo(np.int64).min
-        for i in range(1, length + 1):
-            best = np.full(n, least)
+        begin = np.cumsum(lengths) - lengths
+        # Position i of word k is at row[i] + k: of each position there are as many as words that reach it, the first ones.
+        reach = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")
+        row = np.cumsum(reach) - reach
+        size = int(reach.sum())
+        prefix, last, back = np.zeros(size, dtype=np.uint64), np.full(size, -2, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        for i in range(1, longest + 1):
+            m, here, before = int(reach[i]), int(row[i]), int(row[i - 1])
+            place = begin[:m] + (i - 1)
+            prefix[here : here + m] = prefix[before : before + m] * _BASE + codes[place].astype(np.uint64) + np.uint64(1)
             # The character itself, which may be outside the vocabulary.
-            lone = char_rank[:, i - 1]
-            ok = np.ones(n, dtype=bool) if i == 1 else self.may_follow(last[i - 1], lone)
-            last[i, ok], back[i, ok], best[ok] = lone[ok], i - 1, -lone[ok]
+            lone = char_rank[place]
+            ok = np.ones(m, dtype=bool) if i == 1 else self.may_follow(last[before : before + m], lone)
+            last[here : here + m][ok], back[here : here + m][ok] = lone[ok], i - 1
             # Exactly one piece may end here, so a word that has its piece is done.
-            open_ = np.flatnonzero(best == least)
+            open_ = np.flatnonzero(~ok)
             for width in range(2, min(i, self.longest) + 1):
                 if not len(open_):
                     break
                 j = i - width
-                rank = self.probe(prefix[i, open_] - prefix[j, open_] * self.power[width])
+                rank = self.probe(prefix[here + open_] - prefix[row[j] + open_] * self.power[width])
                 hit = np.flatnonzero(rank >= 0)
                 hit = hit[self.rank_len[rank[hit]] == width]
                 if j:
-                    hit = hit[self.may_follow(last[j, open_[hit]], rank[hit])]
+                    hit = hit[self.may_follow(last[row[j] + open_[hit]], rank[hit])]
                 if len(hit):
-                    word = open_[hit]
-                    last[i, word], back[i, word], best[word] = rank[hit], j, -rank[hit]
-                    open_ = open_[best[open_] == least]
+                    word = here + open_[hit]
+                    last[word], back[word] = rank[hit], j
+                    still = np.ones(len(open_), dtype=bool)
+                    still[hit] = False
+                    open_ = open_[still]
         # Walk all back pointers at once, last piece first.
-        ends, steps = np.full(n, length), []
-        live = every
+        ends, steps, live = lengths.copy(), [], np.arange(n)
         while len(live):
             i = ends[live]
-            steps.append((live, last[i, live], i))
-            ends[live] = back[i, live]
+            cell = row[i] + live
+            steps.append((live, last[cell], i))
+            ends[live] = back[cell]
             live = live[ends[live] > 0]
         word = np.concatenate([s[0] for s in steps])
         rank = np.concatenate([s[1] for s in steps])
@@ -233,12 +242,12 @@ class Pieces:
         ids = np.where(rank >= 0, self.rank_id[np.maximum(rank, 0)], -1)
         outside = np.flatnonzero(ids < 0)
         if len(outside):
-            spelled = [self.byte_id[np.frombuffer(chr(int(codes[word[k], end[k] - 1])).encode("utf-8", "surrogatepass"), dtype=np.uint8)] for k in outside]
-            size = np.ones(len(ids), dtype=np.int64)
-            size[outside] = [len(x) for x in spelled]
-            flat = np.repeat(ids, size)
-            flat[np.repeat(ids < 0, size)] = np.concatenate(spelled)
-            return flat.astype(np.int32), np.bincount(np.repeat(word, size), minlength=n)
+            spelled = [self.byte_id[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), dtype=np.uint8)] for c in codes[begin[word[outside]] + end[outside] - 1].tolist()]
+            size_of = np.ones(len(ids), dtype=np.int64)
+            size_of[outside] = [len(x) for x in spelled]
+            flat = np.repeat(ids, size_of)
+            flat[np.repeat(ids < 0, size_of)] = np.concatenate(spelled)
+            return flat.astype(np.int32), np.bincount(np.repeat(word, size_of), minlength=n)
         return ids.astype(np.int32), np.bincount(word, minlength=n)
 
     def _encode_long(self, codes: np.ndarray) -> np.ndarray:
@@ -306,31 +315,29 @@ class Pieces:
 
         double = MARK + MARK
         spaced = [k for k, w in enumerate(words) if w.startswith(double) or w == MARK]
-        length = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        length[spaced] = 0
-        for k in np.flatnonzero(length > LONG_WORD):
-            ids = self._encode_long(np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64))
-            place(np.array([k]), ids, np.array([len(ids)]))
-        for size_of in np.unique(length[(length > 0) & (length <= LONG_WORD)]):
-            group = np.flatnonzero(length == size_of)
-            step = max(1, (1 << 21) // (int(size_of) * 8))
-            for lo in range(0, len(group), step):
-                some = group[lo : lo + step]
-                codes = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), size_of).astype(np.int64)
-                place(some, *self._encode_equal(codes))
-        mark = self.single.get(MARK, self.unknown)
+        # Of several marks the last one may join the word, which is encoded with it; nothing is left of marks alone.
+        body = list(words)
         for k in spaced:
-            w = words[k]
-            runs = len(w) - len(w.lstrip(MARK))
-            if runs == len(w):
-                ids = self._space_ids(runs)
-            else:
-                # The last mark joins the word if BPE has it so; else all marks stand together.
-                codes = np.array([ord(c) for c in w[runs - 1 :]], dtype=np.int64)
-                body = self._encode_equal(codes[None])[0] if len(codes) <= LONG_WORD else self._encode_long(codes)
-                alone = body[0] == mark
-                ids = np.concatenate([self._space_ids(runs - (not alone)), body[1:] if alone else body])
+            rest = words[k].lstrip(MARK)
+            body[k] = MARK + rest if rest else ""
+        length = np.fromiter(map(len, body), dtype=np.int64, count=n)
+        for k in np.flatnonzero(length > LONG_WORD):
+            ids = self._encode_long(np.frombuffer(body[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64))
             place(np.array([k]), ids, np.array([len(ids)]))
+        short = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+        short = short[np.argsort(-length[short], kind="stable")]
+        cut = (np.cumsum(length[short]) - 1) // _TOGETHER
+        for some in np.split(short, np.flatnonzero(np.diff(cut)) + 1) if len(short) else []:
+            codes = np.frombuffer("".join([body[k] for k in some.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            place(some, *self._encode_together(codes, length[some]))
+        if spaced:
+            mark, found = self.single.get(MARK, self.unknown), np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            for k in spaced:
+                ids, runs = found[at[k] : at[k] + size[k]], len(words[k]) - max(0, int(length[k]) - 1)
+                # Where BPE doesn't have the last mark join the word, all marks stand together.
+                alone = len(ids) == 0 or ids[0] == mark
+                ids = np.concatenate([self._space_ids(runs - (not alone)), ids[1:] if alone else ids])
+                place(np.array([k]), ids, np.array([len(ids)]))
         return np.concatenate(flat) if flat else np.zeros(0, np.int32), at, size
 
     def _space_ids(self, n: int) -> np.ndarray:
@@ -352,7 +359,9 @@ class Encoder:
 
     def _forget(self, keep: int = 0) -> None:
         """Forgets all words but the first ones, which are mostly the frequent ones."""
-        self.known: dict[str, int] = dict(itertools.islice(self.known.items(), keep)) if keep else {}
+        kept = list(itertools.islice(self.known.items(), keep)) if keep else []
+        #: A word that isn't known gets the next number by being asked for.
+        self.known: defaultdict[str, int] = defaultdict(itertools.count(len(kept)).__next__, kept)
         if keep:
             self.at, self.size = self.at[:keep], self.size[:keep]
             end = int((self.at + self.size).max())
@@ -373,14 +382,12 @@ class Encoder:
                 here = cut(MARK + t.replace(" ", MARK))
                 units += here
                 counts[k] = len(here)
-        for u in dict.fromkeys(units):
-            known.setdefault(u, len(known))
+        unit = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
         if len(known) > before:
             new = list(itertools.islice(known, before, None))
             ids, starts, sizes = self.pieces.encode_words(new)
             self.at = np.concatenate([self.at, len(self.ids) + starts])
             self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, sizes])
-        unit = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
         sizes = self.size[unit]
         flat = self.ids[np.repeat(self.at[unit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
         upto = np.concatenate([[0], np.cumsum(sizes)])

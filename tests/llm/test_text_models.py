@@ -273,6 +273,21 @@ def test_long_words(encoder, library):
     assert len(flat) and time.time() - began < 60
 
 
+def test_words_of_all_lengths_together(encoder, library, monkeypatch):
+    """Words of any lengths take one pass over positions, not one for each length; also in several lots, with spaces before and outside characters."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aeinorstlé😀日"), n, p=[0.11] * 9 + [0.004, 0.003, 0.003])) for n in range(2, 61) for _ in range(4)]
+    texts = [" ".join(words), "  ".join(reversed(words)), "   " + words[-1] + "    "]
+    asked = []
+    may_follow = encoder.pieces.may_follow
+    monkeypatch.setattr(encoder.pieces, "may_follow", lambda first, second: asked.append(len(first)) or may_follow(first, second))
+    fresh = sentencepieces.Encoder(encoder.pieces)
+    assert _encoded(fresh, texts) == [library.encode(t) for t in texts]
+    assert len(asked) <= 62 * encoder.pieces.longest
+    monkeypatch.setattr(sentencepieces, "_TOGETHER", 50)
+    assert _encoded(sentencepieces.Encoder(encoder.pieces), texts) == [library.encode(t) for t in texts]
+
+
 def test_op5(docs, library):
     for r in sentencepieces.encode_documents(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert r["token_ids"] == library.encode(r["text"]) and r["decoded"] == r["text"] and r["n_tokens"] == len(r["token_ids"])
