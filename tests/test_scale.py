@@ -20,3 +20,12 @@ def test_tasks_count_scores_without_gathering_them(spark, sf_dir):
     responses = spark.createDataFrame([("r", "s", "x", 1.0, 1), ("r", "t", "y", 2.0, 2)], "runner_id string, scenario_id string, output string, latency_ms double, response_ord int")
     assert {r["scenario_id"]: (r["n_scores"], r["mean_score"]) for r in export.counted_tasks(scores, responses).collect()} == {"s": (2, 0.75), "t": (0, None)}
     assert "n_scores" not in export.tasks(scores, responses).columns
+
+
+def test_result_lines_sort_scores_in_compiled_code(spark, sf_dir):
+    assert "array_sort(" not in _plan(catalog.QUERIES["result_lines"](spark, sf_dir))
+    scores = spark.createDataFrame([("r", "s", a, v, o) for a, v, o in (("C", 0.3, 3), ("A", None, 1), ("B", 0.2, 2), (None, 0.1, None))], "runner_id string, scenario_id string, axis string, value double, score_ord int")
+    responses = spark.createDataFrame([("r", "t", "y", 2.0, 2)], "runner_id string, scenario_id string, output string, latency_ms double, response_ord int")
+    aggregates = spark.createDataFrame([("r", 1)], "runner_id string, n int")
+    lines = [json.loads(r["line"]) for r in export.result_lines(export.tasks(scores, responses), aggregates).collect()]
+    assert {x["scenario_id"]: x.get("scores") for x in lines if x["type"] == "task"} == {"s": [{"value": 0.1}, {"axis": "A"}, {"axis": "B", "value": 0.2}, {"axis": "C", "value": 0.3}], "t": None}
