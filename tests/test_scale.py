@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from evalweave.operators import export
+from evalweave.functions import text as tx
+from evalweave.operators import audit, export
 from evalweave.plans import catalog
 from pyspark.sql import functions as F
 
@@ -29,3 +30,20 @@ def test_result_lines_sort_scores_in_compiled_code(spark, sf_dir):
     aggregates = spark.createDataFrame([("r", 1)], "runner_id string, n int")
     lines = [json.loads(r["line"]) for r in export.result_lines(export.tasks(scores, responses), aggregates).collect()]
     assert {x["scenario_id"]: x.get("scores") for x in lines if x["type"] == "task"} == {"s": [{"value": 0.1}, {"axis": "A"}, {"axis": "B", "value": 0.2}, {"axis": "C", "value": 0.3}], "t": None}
+
+
+def test_scenario_diff_reads_each_text_once_for_a_join(spark, sf_dir):
+    plan = _plan(catalog.QUERIES["scenario_diff"](spark, sf_dir))
+    assert plan.count("Join ") == 2 and plan.count("regexp_replace(") == 2 and "sha2(" in plan
+    schema = "id string, prompt string, fingerprint string"
+    before = spark.createDataFrame([("a", "One  two", "1"), ("b", "x", "2"), ("c", "y", "3"), (None, "z", "4"), ("d", None, None)], schema)
+    after = spark.createDataFrame([("a", " one two\u2003", "1"), ("b", "x", "9"), ("e", "ONE TWO", "5"), (None, "q", "4"), ("d", None, None)], schema)
+    got = {tuple(r) for r in audit.scenario_diff(before, after).collect()}
+    assert got == {("added", "e", None), ("added", None, None), ("removed", "c", None), ("removed", None, None), ("changed", "b", None), ("overlap", "a", "e")}
+
+
+def test_normalise_uses_one_pattern(spark):
+    cases = {"": "", "  \t": "", "\ufeff A\u00a0\u2009B\n\x0bc ": "a b c", "a\x1cb": "a\x1cb"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", tx.normalise(F.col("t")).alias("n"))
+    assert _plan(df).count("regexp_replace(") == 1
+    assert {r["t"]: r["n"] for r in df.collect()} == cases | {None: None}
