@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
+from evalweave.functions import shingling
 from evalweave.functions import text as tx
 from evalweave.operators import audit, export
 from evalweave.plans import catalog
@@ -47,3 +50,32 @@ def test_normalise_uses_one_pattern(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", tx.normalise(F.col("t")).alias("n"))
     assert _plan(df).count("regexp_replace(") == 1
     assert {r["t"]: r["n"] for r in df.collect()} == cases | {None: None}
+
+
+def test_shingles_go_through_workers_in_pieces(spark):
+    batch = pa.record_batch({"i": list(range(6)), "t": ["a" * 10, None, "b" * 100, "", "c" * 20, "d" * 20]})
+    sizes = [[r["i"] for r in p.to_pylist()] for p in shingling.pieces(batch, "t", 60)]
+    assert sizes == [[0, 1], [2], [3, 4], [5]]
+    texts = ["one two three four five six", "six\x1cone two three four five", "x\ufeffy", None, "", "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    whole = {r["i"]: r["shingles"] for r in shingling.with_shingles(df, "t", 5).collect()}
+    assert [len(whole[i]) for i in range(6)] == [2, 1, 2, 0, 0, 2]
+    keys = np.array([whole[0][1], whole[5][0], 7], np.int64)
+    some = {r["i"]: r["shingles"] for r in shingling.with_shingles(df, "t", 5, keys).collect()}
+    assert some == {i: [x for x in v if x in keys] for i, v in whole.items()}
+    assert all(r["shingles"] == [] for r in shingling.with_shingles(df, "t", 5, keys[:0]).collect())
+
+
+def test_leakage_explodes_no_training_text(spark, sf_dir):
+    """Few n-grams are looked up in the workers; a larger evaluation, whose n-grams move, finds the same."""
+    prompts = spark.createDataFrame([(1, 1, "one two three four five six seven"), (2, 2, "Alpha  beta gamma delta epsilon"), (3, 3, None), (4, 4, "")], "id int, ord int, prompt string")
+    training = spark.createDataFrame([(10, 10, None), (11, 11, "x one two three four five six seven y"), (12, 12, "alpha beta gamma delta epsilon "), (13, 13, "one two three four five six seven")], "id int, ord int, prompt string")
+    want = {(1, "exact", 13, 1.0), (2, "exact", 12, 1.0)}
+    assert {tuple(r) for r in audit.leakage(prompts.where("id <> 4"), training).collect()} == want
+    grown = prompts.where("id = 1").withColumn("prompt", F.concat("prompt", F.lit(" z")))
+    few = {tuple(r) for r in audit.leakage(grown, training).collect()}
+    limit, audit.BROADCAST_ROWS = audit.BROADCAST_ROWS, 0
+    try:
+        assert {tuple(r) for r in audit.leakage(grown, training).collect()} == few == {(1, "ngram", 11, 0.75)}
+    finally:
+        audit.BROADCAST_ROWS = limit
