@@ -79,3 +79,8 @@ def test_leakage_explodes_no_training_text(spark, sf_dir):
         assert {tuple(r) for r in audit.leakage(grown, training).collect()} == few == {(1, "ngram", 11, 0.75)}
     finally:
         audit.BROADCAST_ROWS = limit
+
+
+def test_near_duplicates_writes_what_it_reads_again(spark, sf_dir):
+    plan = _plan(catalog.QUERIES["near_duplicates"](spark, sf_dir))
+    assert "MapInArrow" not in plan and "Window" not in plan and "regexp_replace" not in plan
