@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 
 import numpy as np
 import pyarrow as pa
-from evalweave.functions import shingling
+from evalweave.functions import scanning, shingling
 from evalweave.functions import text as tx
 from evalweave.operators import audit, export
 from evalweave.plans import catalog
@@ -84,3 +85,9 @@ def test_leakage_explodes_no_training_text(spark, sf_dir):
 def test_near_duplicates_writes_what_it_reads_again(spark, sf_dir):
     plan = _plan(catalog.QUERIES["near_duplicates"](spark, sf_dir))
     assert "MapInArrow" not in plan and "Window" not in plan and "regexp_replace" not in plan
+
+
+def test_hits_take_arrow_batches(spark):
+    df = spark.createDataFrame([("do not flag. the flag",), (None,), ("do not flag",), ("",)], "t string").coalesce(1).select(scanning.hits(F.col("t"), ["flag"], ["not"]).alias("h"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString() and "pandas" not in inspect.getsource(scanning)
+    assert [r["h"] for r in df.collect()] == [[True, True], [False, False], [False, True], [False, False]]
