@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.common import materialise
 from . import audit
 from .rubrics import _SPACE
 
@@ -482,7 +483,8 @@ def audit_set(scenarios: DataFrame, options: Options, training: DataFrame | None
         drift = audit.release_drift(facts_of_release, documents)
         detail = F.concat("document_id", F.lit(" "), "fact", F.lit(" "), "found", F.lit(" does not match expected "), "expected")
         found.append(_stage(drift, "release", none, none, F.lit("artifact-doc-drift"), F.lit(options.release_severity), F.array().cast("array<string>"), detail).withColumn("source", F.lit(None).cast("string")))
-    return numbered(reduce(DataFrame.unionByName, found))
+    findings, _ = materialise(reduce(DataFrame.unionByName, found))  # they are counted, then numbered
+    return numbered(findings)
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -91,3 +91,8 @@ def test_hits_take_arrow_batches(spark):
     df = spark.createDataFrame([("do not flag. the flag",), (None,), ("do not flag",), ("",)], "t string").coalesce(1).select(scanning.hits(F.col("t"), ["flag"], ["not"]).alias("h"))
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString() and "pandas" not in inspect.getsource(scanning)
     assert [r["h"] for r in df.collect()] == [[True, True], [False, False], [False, True], [False, False]]
+
+
+def test_audit_findings_finds_before_it_numbers(spark, sf_dir):
+    plan = _plan(catalog.QUERIES["audit_findings"](spark, sf_dir))
+    assert "Relation [doc_id" not in plan and "MapInArrow" not in plan  # findings are written before they are numbered
